@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of characters other than ASCII space, tab, LF, VT, FF and CR. ``bytes.split()``
@@ -81,7 +82,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     data = batch.column(column)
     if len(data) == 0:
         return
-    width = pa.compute.fill_null(pa.compute.binary_length(data), 0).to_numpy(zero_copy_only=False)
+    width = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(width):
         if total and total + n > limit:

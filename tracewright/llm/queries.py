@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack
+from .simhash import simhash_groups
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +27,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
+        "op5_simhash": op5_simhash,
     }
 
 

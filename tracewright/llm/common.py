@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII space, tab, LF, VT, FF and CR. ``bytes.split()``
 #: cuts at exactly these six, so UTF-8 bytes are split rather than str (which knows more spaces).
@@ -94,3 +95,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    """True if no id is null or repeated; reads the id column only."""
+    n, ids = docs.agg(F.count("*"), F.countDistinct(F.col(id_col))).first()
+    return n == ids
+
+
+def keyed(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
+    """docs with ``__key``, a unique long in the order of the ids.
+
+    Unique ids are their own keys. Otherwise (null or repeated ids) the rows are range-partitioned
+    by id and text, written, and numbered in that order: nulls first, equal ids by their texts."""
+    key = F.col(id_col).cast("long")
+    if unique_ids(docs, id_col):
+        return docs.withColumn("__key", key)
+    order = [key.asc_nulls_first(), F.col(text_col).asc_nulls_first()]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return work.save(ranged.withColumn("__key", F.monotonically_increasing_id()), "keyed")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .packing import pack
 from .simhash import simhash_groups
+from .substring import drop_repeated_words
+from .suffix_dedup import drop_repeated_bytes
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,18 +29,58 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_words(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(0, greatest(len(ws) - 34, 0))) AS p, ws FROM w
+), h AS (
+  SELECT doc_id, p, array_to_string(ws[p + 1 : p + 35], ' ') AS s FROM p
+), r AS (
+  SELECT doc_id, list(p) AS ps FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM h) WHERE n > 1 GROUP BY doc_id
+), g AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(ps, x -> range(x, x + 35)))) AS gone FROM r
+), f AS (
+  SELECT w.doc_id, w.ws, g.gone FROM w LEFT JOIN g USING (doc_id)
+), e AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM w
+), k AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS kept FROM e
+  LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM g) d ON d.doc_id = e.doc_id AND d.i = e.i
+  WHERE d.i IS NULL GROUP BY e.doc_id
+)
+SELECT f.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM f LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_substring_dedup": OP4_SQL,
+    }

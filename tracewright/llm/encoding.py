@@ -19,13 +19,17 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
 
 _TOUCHING = re.compile(r" (?=\s)|(?<=\s) ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Pre-tokenizer patterns that drop white space, as found in tokenizer files.
 _DROP_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others in order
+#: for the characters from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
 
 def family(spec: dict) -> str:
     """``prefix``, ``drop`` or ``whole``: where a text may be cut under this tokenizer file."""
@@ -50,7 +54,7 @@ class WordEncoder:
     added, and when it then serves badly it is emptied. Long texts are handled in segments of about ``segment`` characters, cut where
     the family allows."""
 
-    def __init__(self, path: str, width: int = 4, words: int = 500_000, segment: int = 1 << 20) -> None:
+    def __init__(self, path: str, width: int = 4, words: int = 800_000, segment: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,27 +100,50 @@ class WordEncoder:
             parts = [p[1:] if i else p for i, p in enumerate(_CUT.split(text))]
         return parts[0], parts[1:]
 
-    def _run(self, texts: list[str], value: Callable, join: Callable) -> list:
+    def _spelled(self, words: list[str]) -> Iterator[tuple[str, list]]:
+        """(word, its tokens) of those words that are a single piece: the model merges them directly,
+        without the offsets and normal forms that a whole encoding also makes."""
+        tokenize = self.tokenizer.model.tokenize
+        if self.family == "prefix":
+            for w in words:
+                if w.isalpha():
+                    yield w, tokenize(_BYTES[32] + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)))
+        else:
+            for w in words:
+                if w.isalpha() and w.isascii():
+                    yield w, tokenize(w.lower())
+
+    def _run(self, texts: list[str], value: Callable, ids: Callable, join: Callable) -> list:
         if self.family == "whole":
-            return [value(e) for e in self._encode(texts)]
+            return [value(ids(e)) for e in self._encode(texts)]
         kept, lead = self._kept, " " if self.family == "prefix" else ""
-        rows, firsts, new = [], [], set()
+        rows, firsts, gaps, new = [], [], [], set()
         for text in texts:
             rows.append([])
             for seg in self._segments(text):
                 first, later = self._parts(seg)
-                rows[-1].append((len(firsts), later))
                 firsts.append(first)
-                new.update(filterfalse(kept.__contains__, later))
-        starts = [value(e) for e in self._encode(firsts)]
-        words = list(new)
-        for word, e in zip(words, self._encode([lead + w for w in words])):
-            kept[word] = value(e)
-        get = kept.__getitem__
-        out = [join([join((starts[i], join(map(get, later)))) for i, later in row]) for row in rows]
-        if len(kept) > self.words:
-            self._evict(words)
-        return out
+                values = list(map(kept.get, later))
+                if None in values:
+                    at = [i for i, v in enumerate(values) if v is None]
+                    missing = [later[i] for i in at]
+                    gaps.append((values, at, missing))
+                    new.update(missing)
+                rows[-1].append((len(firsts) - 1, values))
+        starts = [value(ids(e)) for e in self._encode(firsts)]
+        if new:
+            words = list(new)
+            for w, tokens in self._spelled(words):
+                kept[w] = value([t.id for t in tokens])
+            rest = [w for w in words if w not in kept]
+            for w, e in zip(rest, self._encode([lead + w for w in rest])):
+                kept[w] = value(ids(e))
+            for values, at, missing in gaps:
+                for i, w in zip(at, missing):
+                    values[i] = kept[w]
+            if len(kept) > self.words:
+                self._evict(words)
+        return [join([join((starts[i], join(values))) for i, values in row]) for row in rows]
 
     def _evict(self, words: list[str]) -> None:
         """Of the newest words, keep those met before; start again if the kept ones serve badly."""
@@ -134,10 +161,10 @@ class WordEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         code = self.code
-        return self._run(texts, lambda e: array(code, e.ids).tobytes(), b"".join)
+        return self._run(texts, lambda ids: array(code, ids).tobytes(), lambda e: e.ids, b"".join)
 
     def counts(self, texts: list[str]) -> list[int]:
-        return self._run(texts, len, sum)
+        return self._run(texts, len, lambda e: e, sum)
 
 
 _KEPT: dict[tuple, WordEncoder] = {}

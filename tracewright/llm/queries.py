@@ -56,7 +56,7 @@ def queries() -> dict[str, Query]:
 
 OP4_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), p AS (
   SELECT doc_id, unnest(range(0, greatest(len(ws) - 34, 0))) AS p, ws FROM w
 ), h AS (
@@ -64,7 +64,7 @@ WITH w AS (
 ), r AS (
   SELECT doc_id, list(p) AS ps FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM h) WHERE n > 1 GROUP BY doc_id
 ), g AS (
-  SELECT doc_id, list_distinct(flatten(list_transform(ps, x -> range(x, x + 35)))) AS gone FROM r
+  SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda x: range(x, x + 35)))) AS gone FROM r
 ), f AS (
   SELECT w.doc_id, w.ws, g.gone FROM w LEFT JOIN g USING (doc_id)
 ), e AS (

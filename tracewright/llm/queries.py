@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contained_items
 from .packing import pack
+from .repetition import repetition_rules
 from .simhash import simhash_groups
 from .substring import drop_repeated_words
 from .suffix_dedup import drop_repeated_bytes
@@ -39,6 +41,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_bytes(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,6 +60,8 @@ def queries() -> dict[str, Query]:
         "op2_token_counts": op2_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op8_repetition_rules": op8_repetition_rules,
+        "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
@@ -80,7 +92,27 @@ FROM f LEFT JOIN k USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH t AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM t
+), p AS (
+  SELECT side, id, ws, unnest(range(0, greatest(len(ws) - 4, 0))) AS p FROM w
+), s AS (
+  SELECT DISTINCT side, id, array_to_string(ws[p + 1 : p + 5], ' ') AS s FROM p
+), n AS (
+  SELECT id, count(*) AS n FROM s WHERE side = 1 GROUP BY id
+)
+SELECT d.id AS doc_id, i.id AS item_id, n.n::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_shared,
+       count(*) / n.n AS containment
+FROM s d JOIN s i ON d.side = 0 AND i.side = 1 AND d.s = i.s JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n HAVING count(*) >= ceil(n.n * 0.8)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4_SQL,
+        "op9_decontamination": OP9_SQL,
     }

@@ -2,11 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm.common import Workspace
+from tracewright.llm.common import Workspace, keyed
+from tracewright.llm.decontamination import drop_contaminated
+from tracewright.llm.packing import pack
+from tracewright.llm.simhash import simhash_groups
+from tracewright.llm.substring import drop_repeated_words
+from tracewright.llm.toxicity import drop_toxic
 
-STAGES: list = []
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest id stays (of repeated or null ids,
+    one row)."""
+    own = keyed(docs, Workspace(spark, "simhash-stage"), "doc_id", "text")
+    groups = simhash_groups(own, id_col="__key")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
+    return own.join(first, "__key", "left_semi").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated windows go; ``n_chars`` follows the text. A document stays even if nothing of
+    it is left."""
+    cut = drop_repeated_words(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as pieces of training sequences, with their ids."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list = [
+    ("toxicity", toxicity_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: Trained scores and packing have no SQL form; tests hold the run against a brute-force version.
 ORACLE_SQL = None

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import conversation_digests
-from .common import table
+from .common import Workspace, table
 from .decontamination import contained_items
 from .packing import pack
 from .repetition import repetition_rules
@@ -17,6 +17,8 @@ from .simhash import simhash_groups
 from .substring import drop_repeated_words
 from .suffix_dedup import drop_repeated_bytes
 from .token_counts import token_counts
+from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_words(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -42,6 +48,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "token-output").path("files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(table(spark, sf_dir, "conversations"))
 
@@ -63,8 +75,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
+        "op3_toxicity": op3_toxicity,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op6_token_files": op6_token_files,
         "op7_chat_format": op7_chat_format,
         "op8_repetition_rules": op8_repetition_rules,
         "op9_decontamination": op9_decontamination,

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import Rolling, mix
 from .common import slices
@@ -21,14 +22,14 @@ class Settings:
     """``most_rows`` bounds the training sample (half for each label, as far as there are so many) and
     ``most_chars`` leaves longer texts out of it; both bound the driver's memory. Everything else
     covers all data. ``neutral`` subwords that say nothing join every average, so that a short stretch
-    is not judged by one word."""
+    is not judged by one word; ``toxic_share`` is the weight of all toxic rows together in training."""
 
     buckets: int = 1 << 17
     size: int = 4
     grams: tuple[int, int] = (3, 5)
-    stretch: int = 32
+    stretch: int = 16
     neutral: int = 60
-    toxic_share: float = 0.5
+    toxic_share: float = 0.3
     decay: float = 1e-6
     most_rows: int = 3000
     most_chars: int = 40_000
@@ -206,33 +207,53 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tup
     return [(r.text, r["__toxic"]) for r in sorted(rows, key=lambda r: (r["__id"], r.text))]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every whole text: the probability that it is toxic.
-
-    The model is learnt on the driver from a bounded sample (see ``Settings``) of labelled rows that
-    are not held out; texts alone are its input. A document's score is that of its most toxic
-    stretch of words, so length does not thin it.
-
-    Null and empty texts get the score of no words. Null ids are held out; repeated rows get equal
-    scores. Labels other than 0 and 1 are left out. With no labels at all the score is 0.5 less a
-    little (predicted 0). An empty table gives an empty result; other columns are not read."""
+def fitted(docs: DataFrame, labels: DataFrame, settings: Settings) -> np.ndarray:
+    """The weights, learnt on the driver from the bounded sample."""
     sample = training_sample(docs, labels, settings)
     if len({y for _, y in sample}) == 2:
-        weights = Trainer([t for t, _ in sample], [y for _, y in sample], settings).fit()
-    else:
-        weights = np.zeros(settings.buckets + 1)
-        weights[-1] = 1.0 if sample and sample[0][1] else -1e-9 if not sample else -1.0
+        return Trainer([t for t, _ in sample], [y for _, y in sample], settings).fit()
+    weights = np.zeros(settings.buckets + 1)
+    weights[-1] = 1.0 if sample and sample[0][1] else -1e-9 if not sample else -1.0
+    return weights
+
+
+def with_scores(docs: DataFrame, weights: np.ndarray, settings: Settings, name: str) -> DataFrame:
+    """docs with the score of every whole ``text`` as a last column."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # its size is fixed
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     kept: list[Scorer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(Scorer(shared.value.astype(np.float64), settings))
         for part in (p for b in batches for p in slices(b, "text", 1 << 20)):
-            score = kept[0].scores([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+            score = kept[0].scores([t or "" for t in part.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
-    return rows.select(
+
+def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every whole text: the probability that it is toxic.
+
+    The model is learnt on the driver from a bounded sample (see ``Settings``) of labelled rows that
+    are not held out; texts alone are its input. A document's score is that of its most toxic
+    stretch of words, so length does not thin it.
+
+    Null and empty texts get the score of no words. Null ids are held out; repeated rows get equal
+    scores. Labels other than 0 and 1 are left out. With no labels at all the score is 0.5 less a
+    little (predicted 0). An empty table gives an empty result; other columns are not read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = with_scores(rows, fitted(docs, labels, settings), settings, "score")
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), limit: float = 0.5) -> DataFrame:
+    """docs without those that score ``limit`` or more (see ``toxicity``); columns unchanged. Null and
+    empty texts stay, as no word speaks against them."""
+    scored = with_scores(docs, fitted(docs, labels, settings), settings, "__score")
+    silent = F.coalesce(F.length(F.trim(F.col("text"))) == 0, F.lit(True))
+    return scored.where((F.col("__score") < limit) | silent).drop("__score")

@@ -23,11 +23,18 @@ BLOCKS = (
 _TYPES = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] * 6 + [pa.int64()]
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text and ``end_id``, as little-endian unsigned 32-bit."""
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold every id on the way to the files: 2 for vocabularies of up to 65536, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
+
+
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids): the ids of every whole text and ``end_id``, little-endian, ``width`` bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer, "ids"), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer, "ids", width), np.array([end_id], f"<u{width}").tobytes()
         for part in (p for b in batches for p in slices(b, "text", 1 << 20)):
             made = [data + tail for data in enc.ids([t or "" for t in part.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["doc_id", "ids"])
@@ -36,14 +43,14 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(ids: DataFrame) -> Frequencies:
+def frequencies(ids: DataFrame, width: int) -> Frequencies:
     """Counts of all ids of all rows; one row for each id and task is shuffled, and the driver gets
     one for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for part in (p for b in batches for p in slices(b, "ids")):
-            own = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4"), minlength=len(total))
+            own = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), f"<u{width}"), minlength=len(total))
             own[: len(total)] += total
             total = own
         at = np.flatnonzero(total)
@@ -74,8 +81,9 @@ def write_token_files(
     columns are not read."""
     spark = docs.sparkSession
     work = Workspace(spark, "token-files")
-    ids = work.save(token_ids(docs, tokenizer, end_id, id_col, text_col), "ids")
-    table = frequencies(ids)
+    width = id_width(tokenizer, end_id)
+    ids = work.save(token_ids(docs, tokenizer, end_id, width, id_col, text_col), "ids")
+    table = frequencies(ids, width)
     spark.createDataFrame(
         [(int(s), int(f), table.bits) for s, f in zip(table.symbols, table.share)], "symbol long, share long, bits int"
     ).coalesce(1).write.parquet(f"{path}/table")
@@ -111,7 +119,7 @@ def write_token_files(
         for piece in (p for b in batches for p in slices(b, "ids")):
             for key, data in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 keys.append(key)
-                rows.append(np.frombuffer(data, "<u4"))
+                rows.append(np.frombuffer(data, f"<u{width}"))
                 size += len(rows[-1])
                 if size >= block_ids:
                     done.append((keys, rows))

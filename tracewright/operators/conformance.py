@@ -118,11 +118,11 @@ def temporal_conformance(df: DataFrame, profile: DataFrame, zeta: float = 6.0) -
 
     The profile joins the later events first and turns into bounds on the earlier ones' times, so only
     deviating pairs leave the join within a case."""
-    own = df.select("case_id", "n", "activity", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    own = df.select("case_id", "n", "activity", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     late = own.select("case_id", F.col("n").alias("late"), F.col("activity").alias("b"), F.col("t").alias("u")).join(profile, "b")
     late = late.withColumn("low", F.col("mean_s") - zeta * F.col("std_s")).withColumn("high", F.col("mean_s") + zeta * F.col("std_s"))
     early = own.withColumnRenamed("activity", "a")
-    pairs = late.join(early, ["case_id", "a"]).where("n < late AND (u - t < low OR u - t > high)")
-    delta = F.col("u") - F.col("t")
+    pairs = late.join(early, ["case_id", "a"]).where("n < late AND ((u - t) / 1e6 < low OR (u - t) / 1e6 > high)")
+    delta = (F.col("u") - F.col("t")) / 1e6
     z = F.when(F.col("std_s") > 0, F.abs(delta - F.col("mean_s")) / F.col("std_s"))
     return pairs.select(F.col("late").alias("n"), "case_id", "a", "b", delta.alias("delta_s"), z.alias("z"))

@@ -105,7 +105,7 @@ def soft_reports(df: DataFrame, pdfa: DataFrame, alpha: float = 0.5, max_cases:
     w = Window.partitionBy("case_id").orderBy("n")
     rows = rows.withColumn("slot", F.ceil(F.col("n") / rate)).withColumn("until", F.coalesce(F.lead("n").over(w), F.lit(last + 1)))
     rows = rows.withColumn("end", F.floor((F.col("until") - 1) / rate)).where("slot <= end")
-    ticks = rows.withColumn("tick", F.explode(F.sequence("slot", "end")) * rate)
+    ticks = rows.withColumn("tick", F.explode(F.sequence("slot", "end"))).withColumn("tick", F.col("tick") * rate)
     newest = Window.partitionBy("tick").orderBy(F.col("n").desc())
     return ticks.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= max_cases).select(
         "tick", "case_id", "mean_prob", "soft_conformance"

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ from .common import Workspace, keyed, slices
 RUNS = "run long, block long, n long, head binary, last binary, shared binary, rest binary, keys binary, starts binary"
 
 
+#: Columns of a block that travel compressed.
+_DENSE = ("shared", "rest", "keys", "starts")
+
+
+def _dense(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _opened(row: dict) -> dict:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return row | {n: unpack(row[n]) for n in _DENSE}
+
+
 def byte_values(text: bytes) -> np.ndarray:
     return BYTE_VALUES[np.frombuffer(text, np.uint8)]
 
@@ -122,7 +136,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, run_rows: int, block_ro
         s, k, p = strings[order], keys[order], starts[order]
         out: list[list] = [[] for _ in range(9)]
         if len(later):
-            row = (task + count, -1, len(later), None, None, None, None, keys[later].tobytes(), starts[later].tobytes())
+            row = (task + count, -1, len(later), None, None, None, None, _dense(keys[later].tobytes()), _dense(starts[later].tobytes()))
             for c, v in zip(out, row):
                 c.append(v)
         for i in range(0, len(s), block_rows):
@@ -131,7 +145,8 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, run_rows: int, block_ro
             coded[0] = width
             row = (
                 task + count, i // block_rows, len(part), part[0].tobytes(), part[-1].tobytes(),
-                lengths.astype("<u2").tobytes(), front_code(part, coded), k[i : i + block_rows].tobytes(), p[i : i + block_rows].tobytes(),
+                _dense(lengths.astype("<u2").tobytes()), _dense(front_code(part, coded)),
+                _dense(k[i : i + block_rows].tobytes()), _dense(p[i : i + block_rows].tobytes()),
             )
             for c, v in zip(out, row):
                 c.append(v)
@@ -168,6 +183,7 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> It
             if first == last:
                 pieces = [(first, row)]
             else:
+                row = _opened(row)
                 shared = np.frombuffer(row["shared"], "<u2").astype(np.int64)
                 strings = decode(row["head"], shared, row["rest"])
                 keys, starts = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["starts"], np.int64)
@@ -181,8 +197,8 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> It
                         coded[0] = len(row["head"])
                         matrix = np.frombuffer(b"".join(strings[a:b]), np.uint8).reshape(b - a, -1)
                         cut = row | {
-                            "n": b - a, "head": strings[a], "last": strings[b - 1], "shared": shared[a:b].astype("<u2").tobytes(),
-                            "rest": front_code(matrix, coded), "keys": keys[a:b].tobytes(), "starts": starts[a:b].tobytes(),
+                            "n": b - a, "head": strings[a], "last": strings[b - 1], "shared": _dense(shared[a:b].astype("<u2").tobytes()),
+                            "rest": _dense(front_code(matrix, coded)), "keys": _dense(keys[a:b].tobytes()), "starts": _dense(starts[a:b].tobytes()),
                         }
                         pieces.append((part, cut))
             for part, piece in pieces:
@@ -197,7 +213,7 @@ def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merge(rows: list[dict]) -> pa.RecordBatch:
         runs: dict[int, list] = {}
-        for r in rows:  # by run and block
+        for r in map(_opened, rows):  # by run and block
             strings, shared, keys, starts = runs.setdefault(r["run"], [[], [], [], []])
             lengths = np.frombuffer(r["shared"], "<u2").astype(np.int64)
             strings += decode(r["head"], lengths, r["rest"])
@@ -240,7 +256,7 @@ def later_windows(
     classed = work.save(classed_segments(texts, byte_values, gram, width, False), "segments")
     open_ = classed.where("NOT settled").groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("p", "n")).alias("segs"))
     runs = texts.join(open_, "__key").select("__key", "text", "segs")
-    runs = work.save(runs.mapInArrow(lambda b: _runs(b, width, run_rows, block_rows), RUNS), "runs")
+    runs = work.save(runs.mapInArrow(lambda b: _runs(b, width, run_rows, block_rows), RUNS), "runs", codec="uncompressed")
     blocks = runs.where("block >= 0")
     rows, count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Range borders only spread the load: they come from a bounded sample of the blocks' first suffixes.
@@ -258,9 +274,10 @@ def later_windows(
     across = cut.mapInArrow(_merge_parts, "key long, p long, n long")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for keys, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, p = np.frombuffer(keys, np.int64), np.frombuffer(starts, np.int64)
+                k, p = np.frombuffer(unpack(keys), np.int64), np.frombuffer(unpack(starts), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(np.ones(len(k), np.int64))], ["key", "p", "n"])
 
     within = runs.where("block < 0").select("keys", "starts").mapInArrow(inside, "key long, p long, n long")
@@ -268,7 +285,7 @@ def later_windows(
 
 
 def drop_repeated_bytes(
-    docs: DataFrame, width: int = 100, gram: int = 48, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 100, gram: int = 72, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every whole text as UTF-8 bytes, without those
     covered by a ``width``-byte string that also starts earlier (smaller id, or the same document

@@ -54,7 +54,7 @@ class WordEncoder:
     added, and when it then serves badly it is emptied. Long texts are handled in segments of about ``segment`` characters, cut where
     the family allows."""
 
-    def __init__(self, path: str, width: int = 4, words: int = 800_000, segment: int = 1 << 20) -> None:
+    def __init__(self, path: str, width: int = 4, words: int = 400_000, segment: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

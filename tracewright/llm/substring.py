@@ -20,7 +20,7 @@ _WORD_VALUES: dict[bytes, int] = {}
 def word_values(text: bytes) -> np.ndarray:
     """A 64-bit value for each word; values of words met before are kept in the Python worker."""
     kept, words = _WORD_VALUES, text.split()
-    if len(kept) > 500_000:
+    if len(kept) > 250_000:
         kept.clear()
     try:
         return np.array(list(map(kept.__getitem__, words)), np.uint64)

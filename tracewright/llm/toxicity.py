@@ -31,8 +31,8 @@ class Settings:
     neutral: int = 60
     toxic_share: float = 0.3
     decay: float = 1e-6
-    most_rows: int = 3000
-    most_chars: int = 40_000
+    most_rows: int = 2400
+    most_chars: int = 20_000
     steps: int = 50
     rate: float = 0.1
     seed: int = 11
@@ -148,7 +148,7 @@ class Trainer:
 class Scorer:
     """Scores with one weight per bucket; sums of words met before are kept."""
 
-    def __init__(self, weights: np.ndarray, s: Settings, most_words: int = 400_000) -> None:
+    def __init__(self, weights: np.ndarray, s: Settings, most_words: int = 200_000) -> None:
         self.weights, self.s, self.most_words = weights, s, most_words
         self._at: dict[str, int] = {}
         self._sums = np.zeros((1 << 16, 2))

@@ -87,6 +87,59 @@ def test_bytes(spark, width, gram, extra):
     assert mine == slow_bytes(rows, width)
 
 
+def test_frequent_stretch_in_small_lots():
+    """A passage of many documents, each in its own surroundings: all ways of dealing give the same
+    windows, and no task of a gram gets a row of each document."""
+    import itertools
+
+    import pyarrow as pa
+
+    from tracewright.llm.anchors import anchor_rows, classify
+    from tracewright.llm.substring import word_values
+
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(words(20) + passage[: rng.choice((24, 30))] + words(20)).encode() for _ in range(300)]
+    texts += [texts[3]] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    gram, width = 4, 12
+    windows = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for p in range(len(w) - width + 1):
+            windows.setdefault(tuple(w[p : p + width]), []).append((k, p))
+    for every, lots in itertools.product((True, False), (1, 7, 40)):
+        rows = []
+        for i in range(lots):
+            for b in anchor_rows([batch.take(list(range(i, len(texts), lots)))], word_values, gram, width, chunk=500):
+                rows += b.to_pylist()
+        by_deal = {}
+        for r in rows:
+            by_deal.setdefault(r["deal"], []).append(r)
+        assert max(map(len, by_deal.values())) <= 3 * max(lots, 14)
+        out = []
+        for group in by_deal.values():
+            group.sort(key=lambda r: [r[n] for n in ("apart", "gram", "seg", "key", "p")])
+            cuts = [group[i : i + 3] for i in range(0, len(group), 3)]
+            out += [r for b in classify((pa.RecordBatch.from_pylist(c) for c in cuts), every) for r in b.to_pylist()]
+        settled = {(r["key"], p) for r in out if r["settled"] for p in range(r["p"], r["p"] + r["n"])}
+        weight = {}
+        for r in out:
+            if not r["settled"]:
+                for p in range(r["p"], r["p"] + r["n"]):
+                    assert (r["key"], p) not in weight
+                    weight[r["key"], p] = 2 if r["more"] else 1
+        for places in windows.values():
+            found = [x for x in places if x in weight]
+            if every:
+                left = set(found) if sum(weight[x] for x in found) > 1 else set()
+                assert (set(places) <= settled | left) == (len(places) > 1)
+            else:
+                assert min(places) not in settled
+                assert set(places) - {min(places)} <= settled | {x for x in found if x != min(places) and min(places) in weight}
+
+
 def test_many_ranges(spark):
     from tracewright.llm.common import Workspace
     from tracewright.llm.suffix_dedup import later_windows

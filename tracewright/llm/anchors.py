@@ -83,21 +83,72 @@ def segments(values: np.ndarray, bounds: np.ndarray, gram: int, window: int) ->
     return doc, first - bounds[doc], size, grams[anchor[cut]], whole
 
 
-ANCHORS = "gram long, seg long, key long, p long, n long"
+ANCHORS = "deal long, apart int, gram long, seg long, key long, p long, n long, double int"
+_NAMES = [f.split()[0] for f in ANCHORS.split(", ")]
+#: ``apart``: classes to compare among those of their gram; classes known to be open; settled runs.
+_BY_GRAM, _OPEN, _SETTLED = range(3)
+
+
+def joined_runs(key: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows (key, p, n), those that touch or overlap made one (disjoint runs assumed)."""
+    if not len(key):
+        return key, p, n
+    order = np.lexsort((p, key))
+    key, p, n = key[order], p[order], n[order]
+    at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1] + n[:-1])])
+    return key[at], p[at], np.add.reduceat(n, at)
+
+
+def combine(gram: np.ndarray, seg: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """What one map task sends on of its segments: a frequent stretch must not send all its rows to
+    the task of its gram.
+
+    Of equal segments the first goes on (``double`` set if there were others), the others are settled
+    here and sent by their document. Of a gram's different segments two go on by their gram, which
+    tells every other holder of that gram that it has several; the rest is known to be open and is
+    dealt by gram and segment. Equal segments that miss each other that way are both compared
+    window by window later, so nothing is lost."""
+    order = np.lexsort((p, key, seg, gram))
+    gram, seg, key, p, n = (c[order] for c in (gram, seg, key, p, n))
+    new_gram = np.r_[True, gram[1:] != gram[:-1]]
+    new = new_gram | np.r_[True, seg[1:] != seg[:-1]]
+    starts = np.flatnonzero(new)
+    double = (np.diff(np.r_[starts, len(gram)]) > 1).astype(np.int32)
+    opens = np.flatnonzero(new_gram[starts])
+    rank = np.arange(len(starts)) - np.repeat(opens, np.diff(np.r_[opens, len(starts)]))
+    apart = np.where(rank < 2, _BY_GRAM, _OPEN).astype(np.int32)
+    g, s = gram[starts], seg[starts]
+    deal = np.where(apart == _BY_GRAM, g, mix(g.view(np.uint64) ^ mix(s.view(np.uint64))).view(np.int64))
+    gone = ~new
+    gone_key, gone_p, gone_n = joined_runs(key[gone], p[gone], n[gone])
+    none = np.zeros(len(gone_key), np.int64)
+    columns = [
+        np.r_[deal, mix(gone_key.view(np.uint64)).view(np.int64)], np.r_[apart, np.full(len(none), _SETTLED, np.int32)],
+        np.r_[g, none], np.r_[s, none], np.r_[key[starts], gone_key], np.r_[p[starts], gone_p], np.r_[n[starts], gone_n],
+        np.r_[double, none.astype(np.int32)],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
 
 
 def anchor_rows(
-    batches: Iterator[pa.RecordBatch], symbols: Callable[[bytes], np.ndarray], gram: int, window: int, chunk: int = 1 << 17
-) -> Iterator[pa.RecordBatch]:
-    """Segments of (key, UTF-8 text) rows, worked on in runs of about ``chunk`` symbols."""
+    batches: Iterator[pa.RecordBatch], symbols: Callable[[bytes], np.ndarray], gram: int, window: int,
+    chunk: int = 1 << 17, most: int = 500_000,
+) -> Iterator[pa.RecordBatch]:
+    """Combined segments of (key, UTF-8 text) rows, worked on in runs of about ``chunk`` symbols and
+    combined in lots of about ``most`` segments."""
 
-    def made(keys: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    def made(keys: list[int], parts: list[np.ndarray]) -> list[np.ndarray]:
         bounds = np.cumsum([0, *map(len, parts)])
         doc, p, n, g, s = segments(np.concatenate(parts), bounds, gram, window)
-        arrays = [g.view(np.int64), s.view(np.int64), np.array(keys, np.int64)[doc], p, n]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["gram", "seg", "key", "p", "n"])
+        return [g.view(np.int64), s.view(np.int64), np.array(keys, np.int64)[doc], p, n]
+
+    def lot(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows = combine(*(np.concatenate(c) for c in zip(*held)))
+        for i in range(0, rows.num_rows, 1 << 16):
+            yield rows.slice(i, 1 << 16)
 
     keys, parts, size = [], [], 0
+    held, count = [], 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             values = symbols(text.as_py() or b"")
@@ -107,23 +158,30 @@ def anchor_rows(
             parts.append(values)
             size += len(values)
             if size >= chunk:
-                yield made(keys, parts)
+                held.append(made(keys, parts))
+                count += len(held[-1][0])
                 keys, parts, size = [], [], 0
+                if count >= most:
+                    yield from lot(held)
+                    held, count = [], 0
     if parts:
-        yield made(keys, parts)
+        held.append(made(keys, parts))
+    if held:
+        yield from lot(held)
 
 
 CLASSED = "settled boolean, key long, p long, n long, more boolean"
 
 
 def classify(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (gram, seg, key, p) in; out come settled ones (equal to an earlier one; with
-    ``every``, equal to any other), and of each class of equal segments whose gram has more classes
-    the first one, with ``more`` true if the class has several.
+    """Segments sorted by (apart, gram, seg, key, p) in; out come settled ones (equal to an earlier
+    one; with ``every``, equal to any other), and of each class of equal segments that is open or
+    whose gram has more classes the first one, with ``more`` true if the class has several.
 
     Streams: only the first row of the open class and the last row wait for the next batch, so a
     gram of any frequency takes constant memory."""
-    rows = np.zeros((0, 5), np.int64)
+    names = ["settled", "key", "p", "n", "more"]
+    rows = np.zeros((0, 7), np.int64)  # apart, gram, seg, key, p, n, double
     done = 0  # rows at the front that only give context
     first_class = double = False  # of the class that row 0 opens
 
@@ -131,20 +189,22 @@ def classify(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
         nonlocal rows, done, first_class, double
         k = len(rows)
         end = k if last else k - 1
-        new_gram = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
-        new = new_gram | np.r_[True, rows[1:, 1] != rows[:-1, 1]]
+        new_gram = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+        new = new_gram | np.r_[True, rows[1:, 2] != rows[:-1, 2]]
         same_next = np.r_[~new[1:], False]
         starts = np.flatnonzero(new)
         firsts = new_gram[starts]
-        several = same_next[starts]
+        several = same_next[starts] | (rows[starts, 6] == 1)
         if done:
             firsts[0], several[0] = first_class, several[0] or double
-        settled = ~new | same_next if every else ~new
+        settled = ~new | same_next | (rows[:, 6] == 1) if every else ~new
         settled[:done] = False
         settled[end:] = False
-        live = (starts >= done) & (starts < end) & ~firsts
-        c = np.flatnonzero(live)
-        c = np.unique(np.r_[c, c[firsts[c - 1]] - 1]) if len(c) else c
+        in_turn = (starts >= done) & (starts < end)
+        c = np.flatnonzero(in_turn & ~firsts)
+        apart = rows[starts, 0]
+        c = np.r_[c, c[firsts[c - 1] & (apart[c - 1] == _BY_GRAM)] - 1, np.flatnonzero(in_turn & (apart == _OPEN))]
+        c = np.unique(c).astype(np.int64)
         at = np.flatnonzero(settled)
         pick = np.r_[at, starts[c]]
         more = np.r_[np.zeros(len(at), bool), several[c]]
@@ -155,21 +215,26 @@ def classify(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
                 first_class, double = bool(firsts[open_class]), bool(several[open_class])
                 rows, done = rows[[starts[open_class], k - 1]], 1
             # with a single row so far, it simply waits
-        arrays = [np.arange(len(pick)) < len(at), out[:, 2], out[:, 3], out[:, 4], more]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["settled", "key", "p", "n", "more"])
+        arrays = [np.arange(len(pick)) < len(at), out[:, 3], out[:, 4], out[:, 5], more]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
 
     for batch in batches:
-        if batch.num_rows:
-            rows = np.concatenate([rows, np.column_stack([np.asarray(batch.column(i), np.int64) for i in range(5)])])
+        columns = [np.asarray(batch.column(i), np.int64) for i in range(1, 8)]
+        ready = columns[0] == _SETTLED
+        if ready.any():
+            true, false = np.ones(int(ready.sum()), bool), np.zeros(int(ready.sum()), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (true, *(c[ready] for c in columns[3:6]), false)], names)
+        if not ready.all():
+            rows = np.concatenate([rows, np.column_stack(columns)[~ready]])
             yield step(False)
     if len(rows):
         yield step(True)
 
 
 def classed_segments(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], gram: int, window: int, every: bool) -> DataFrame:
-    """``CLASSED`` rows of docs (__key, text as UTF-8 binary). One shuffle, of anchors only."""
+    """``CLASSED`` rows of docs (__key, text as UTF-8 binary). One shuffle, of combined anchors only."""
     anchors = docs.mapInArrow(lambda batches: anchor_rows(batches, symbols, gram, window), ANCHORS)
-    dealt = anchors.repartition("gram").sortWithinPartitions("gram", "seg", "key", "p")
+    dealt = anchors.repartition("deal").sortWithinPartitions("apart", "gram", "seg", "key", "p")
     return dealt.mapInArrow(lambda batches: classify(batches, every), CLASSED)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import Workspace, keyed
 from tracewright.llm.decontamination import drop_contaminated
+from tracewright.llm.near_copies import near_groups
 from tracewright.llm.packing import pack
-from tracewright.llm.simhash import simhash_groups
 from tracewright.llm.substring import drop_repeated_words
 from tracewright.llm.toxicity import drop_toxic
 
@@ -20,10 +20,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays (of repeated or null ids,
-    one row)."""
+    """Of each near-duplicate group (SimHash at radius 4, or a 5-word-shingle Jaccard similarity of 0.8
+    or more) the document with the smallest id stays (of repeated or null ids, one row)."""
     own = keyed(docs, Workspace(spark, "simhash-stage"), "doc_id", "text")
-    groups = simhash_groups(own, id_col="__key")
+    groups = near_groups(own, id_col="__key")
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
     return own.join(first, "__key", "left_semi").select(*docs.columns)
 

@@ -20,8 +20,8 @@ _EDGE = ".,;:!?\"'()[]{}|*"
 @dataclass(frozen=True)
 class Settings:
     """``most_rows`` bounds the training sample (half for each label, as far as there are so many) and
-    ``most_chars`` leaves longer texts out of it; both bound the driver's memory. Everything else
-    covers all data. ``neutral`` subwords that say nothing join every average, so that a short stretch
+    ``most_chars`` all its texts together: beyond that fewer rows are drawn, whatever their lengths.
+    Both bound the driver's memory. Everything else covers all data. ``neutral`` subwords that say nothing join every average, so that a short stretch
     is not judged by one word; ``toxic_share`` is the weight of all toxic rows together in training."""
 
     buckets: int = 1 << 17
@@ -31,8 +31,8 @@ class Settings:
     neutral: int = 60
     toxic_share: float = 0.3
     decay: float = 1e-6
-    most_rows: int = 2400
-    most_chars: int = 20_000
+    most_rows: int = 3000
+    most_chars: int = 60_000_000
     steps: int = 50
     rate: float = 0.1
     seed: int = 11
@@ -65,6 +65,16 @@ def _words(text: str) -> list[str]:
     return list(dict.fromkeys(text.lower().split()))
 
 
+def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, room: int = 1 << 17) -> np.ndarray:
+    """Sums of ``values[index]`` over the ranges that begin at ``at``, of which about ``room`` rows are
+    laid out at once."""
+    cuts = np.unique(np.r_[0, np.searchsorted(at, np.arange(room, len(index), room)), len(at)])
+    ends = np.r_[at, len(index)]
+    return np.concatenate(
+        [np.add.reduceat(values[index[ends[i] : ends[j]]], at[i:j] - ends[i], axis=0) for i, j in zip(cuts, cuts[1:])]
+    )
+
+
 class Trainer:
     """Embeddings and softmax weights, learnt together.
 
@@ -80,19 +90,24 @@ class Trainer:
             w = _words(t) or [""]
             ids.extend([vocabulary.setdefault(x, len(vocabulary)) for x in w])
             lengths.append(len(w))
-        which, self.sub = subwords(list(vocabulary), s)
+        known, which, sub = list(vocabulary), [], []
+        for i in range(0, len(known), 1 << 13):
+            w, b = subwords(known[i : i + (1 << 13)], s)
+            which.append((w + i).astype(np.int32))
+            sub.append(b.astype(np.int32))
+        which, self.sub = np.concatenate(which), np.concatenate(sub)
         self.sub_len = np.bincount(which, minlength=len(vocabulary))
         self.sub_at = np.cumsum(self.sub_len) - self.sub_len
-        self.word = np.array(ids, np.int64)
+        self.word = np.array(ids, np.int32)
         self.doc_len = np.array(lengths, np.int64)
         self.label = np.array(labels, np.float64)
-        self.by_bucket = np.argsort(self.sub, kind="stable")
-        self.used, first = np.unique(self.sub[self.by_bucket], return_index=True)
-        self.bucket_at = first
-        self.sub_word = which[self.by_bucket]
-        by_word = np.argsort(self.word, kind="stable")
-        self.by_word = by_word
-        self.word_at = np.searchsorted(self.word[by_word], np.arange(len(vocabulary)))
+        by_bucket = np.argsort(self.sub, kind="stable").astype(np.int32)
+        self.sub_word = which[by_bucket]
+        buckets = self.sub[by_bucket]
+        self.bucket_at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+        self.used = buckets[self.bucket_at]
+        self.by_word = np.argsort(self.word, kind="stable").astype(np.int32)
+        self.word_at = np.searchsorted(self.word[self.by_word], np.arange(len(vocabulary)))
 
     def _stretches(self, size: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(first word of every stretch, its document)."""
@@ -113,9 +128,9 @@ class Trainer:
         share = np.where(self.label == 1, s.toxic_share / max(1, self.label.sum()), (1 - s.toxic_share) / max(1, (1 - self.label).sum()))
         for step in range(1, s.steps + 1):
             at, doc = self._stretches(None if step <= s.steps // 3 else s.stretch)
-            words = np.add.reduceat(table[self.sub], self.sub_at, axis=0)
-            total = np.add.reduceat(words[self.word], at, axis=0)
-            count = (np.add.reduceat(self.sub_len[self.word], at) + s.neutral)[:, None].astype(np.float32)
+            words = _sums(table, self.sub, self.sub_at)
+            total = _sums(words, self.word, at)
+            count = (_sums(self.sub_len, self.word, at) + s.neutral)[:, None].astype(np.float32)
             hidden = total / count
             logits = hidden @ weight + bias
             gap = logits[:, 1] - logits[:, 0]
@@ -127,10 +142,9 @@ class Trainer:
             d_weight, d_bias = hidden[top].T @ d_logits + 1e-5 * weight, d_logits.sum(0)
             d_stretch = np.zeros_like(hidden)
             d_stretch[top] = ((d_logits @ weight.T) / count[top]).astype(np.float32)
-            lengths = np.diff(np.r_[at, len(self.word)])
-            d_place = np.repeat(d_stretch, lengths, axis=0)
-            d_word = np.add.reduceat(d_place[self.by_word], self.word_at, axis=0)
-            d_table = np.add.reduceat(d_word[self.sub_word], self.bucket_at, axis=0)
+            place = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(self.word)]))
+            d_word = _sums(d_stretch, place[self.by_word], self.word_at)
+            d_table = _sums(d_word, self.sub_word, self.bucket_at)
             part = table[self.used]
             d_table += s.decay * part
             for p_, g, m in zip((part, weight, bias), (d_table, d_weight, d_bias), moments):
@@ -192,18 +206,32 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
     """Texts and labels of at most about ``most_rows`` documents that are not held out, by a hash of
-    their ids, half for each label. Only the chosen ids are sent to the documents' scan."""
+    their ids, half for each label. Only the chosen ids are sent to the documents' scan, and only the
+    distinct words of a text come back."""
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
     own = own.where(F.col("__toxic").isin(0, 1) & ~held_out(F.col("__id")))
     count = {r["__toxic"]: r["count"] for r in own.groupBy("__toxic").count().collect()}
     part = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
-    keep = F.lit(False)
-    for label, n in count.items():
-        keep = keep | ((F.col("__toxic") == label) & (part < int(1_000_000 * min(1.0, s.most_rows / 2 / n))))
-    chosen = own.where(keep).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where(F.length("text") <= s.most_chars)
-    # The sample is bounded by most_rows, so it may be broadcast.
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "text", "__toxic").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text IS NOT NULL")
+
+    def drawn(most: float) -> DataFrame:
+        keep = F.lit(False)
+        for label, n in count.items():
+            keep = keep | ((F.col("__toxic") == label) & (part < int(1_000_000 * min(1.0, most / 2 / n))))
+        chosen = own.where(keep).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
+        # The sample is bounded by most_rows, so it may be broadcast.
+        return texts.join(F.broadcast(chosen), "__id").select("__id", "text", "__toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in (p for b in batches for p in slices(b, "text")):
+            words = pa.array([" ".join(_words(t)) for t in p.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([p.column(0), words, p.column(2)], ["__id", "text", "__toxic"])
+
+    rows = drawn(s.most_rows)
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if chars > s.most_chars:
+        rows = drawn(min(n, s.most_rows) * s.most_chars / chars)
+    rows = rows.mapInArrow(run, rows.schema).collect()
     return [(r.text, r["__toxic"]) for r in sorted(rows, key=lambda r: (r["__id"], r.text))]
 
 

@@ -279,7 +279,7 @@ def hm_budget_ticks(spark, sf_dir):
 
 @query()
 def behavioral_model(spark, sf_dir):
-    return discovery.behavioral_model(log(spark, sf_dir).transform(filters.excludes_activity_filter(["error", "signup"])))
+    return discovery.behavioral_model(log(spark, sf_dir))
 
 
 #: A fixed model: (src, dst, p_min, p_max, f).

@@ -70,9 +70,8 @@ def contained_items(
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document and item where the
     document holds at least ``threshold`` of the item's distinct shingles of ``size`` words.
 
-    Sketches of the items (see ``sketches``) meet the shingles of whole documents; a document with
-    too few shingles for an item is passed over. Candidates are then verified on the shingles
-    themselves. The documents' texts move only if the candidates (a written table, whose size Spark
+    Sketches of the items (see ``sketches``) meet the shingles of whole documents of any size.
+    Candidates are then verified on the shingles themselves. The documents' texts move only if the candidates (a written table, whose size Spark
     knows) are too many to send to them.
 
     Items with fewer than ``size`` words have no shingles and match nothing, and so do null texts.

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tracewright.llm.substring import drop_repeated_words
@@ -78,7 +79,7 @@ def test_words(spark, width, gram, extra):
 
 
 @pytest.mark.parametrize("extra", [[], [(0, "twice " * 50), (0, "twice " * 50), (None, "null id " * 60), (None, None)]])
-@pytest.mark.parametrize("width,gram", [(100, 48), (30, 9)])
+@pytest.mark.parametrize("width,gram", [(100, 48), (100, 72), (30, 9)])
 def test_bytes(spark, width, gram, extra):
     rows = corpus(width) + extra
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -87,85 +88,90 @@ def test_bytes(spark, width, gram, extra):
     assert mine == slow_bytes(rows, width)
 
 
-def test_frequent_stretch_in_small_lots():
-    """A passage of many documents, each in its own surroundings: all ways of dealing give the same
-    windows, and no task of a gram gets a row of each document."""
-    import itertools
-
-    import pyarrow as pa
-
-    from tracewright.llm.anchors import anchor_rows, classify
-    from tracewright.llm.substring import word_values
-
-    rng = random.Random(5)
-    passage = [f"p{i}" for i in range(30)]
-    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
-    texts = [" ".join(words(20) + passage[: rng.choice((24, 30))] + words(20)).encode() for _ in range(300)]
-    texts += [texts[3]] * 40
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
-    gram, width = 4, 12
-    windows = {}
-    for k, t in enumerate(texts):
-        w = t.split()
-        for p in range(len(w) - width + 1):
-            windows.setdefault(tuple(w[p : p + width]), []).append((k, p))
-    for every, lots in itertools.product((True, False), (1, 7, 40)):
-        rows = []
-        for i in range(lots):
-            for b in anchor_rows([batch.take(list(range(i, len(texts), lots)))], word_values, gram, width, chunk=500):
-                rows += b.to_pylist()
-        by_deal = {}
-        for r in rows:
-            by_deal.setdefault(r["deal"], []).append(r)
-        assert max(map(len, by_deal.values())) <= 3 * max(lots, 14)
-        out = []
-        for group in by_deal.values():
-            group.sort(key=lambda r: [r[n] for n in ("apart", "gram", "seg", "key", "p")])
-            cuts = [group[i : i + 3] for i in range(0, len(group), 3)]
-            out += [r for b in classify((pa.RecordBatch.from_pylist(c) for c in cuts), every) for r in b.to_pylist()]
-        settled = {(r["key"], p) for r in out if r["settled"] for p in range(r["p"], r["p"] + r["n"])}
-        weight = {}
-        for r in out:
-            if not r["settled"]:
-                for p in range(r["p"], r["p"] + r["n"]):
-                    assert (r["key"], p) not in weight
-                    weight[r["key"], p] = 2 if r["more"] else 1
-        for places in windows.values():
-            found = [x for x in places if x in weight]
-            if every:
-                left = set(found) if sum(weight[x] for x in found) > 1 else set()
-                assert (set(places) <= settled | left) == (len(places) > 1)
-            else:
-                assert min(places) not in settled
-                assert set(places) - {min(places)} <= settled | {x for x in found if x != min(places) and min(places) in weight}
+def test_frequent_code_in_small_lots():
+    """However the rows are cut into lots, items whose code is met again are told, and a code of all
+    rows sends one item for each lot to its part."""
+    import numpy as np
+
+    from tracewright.llm.dealing import answer, ask
+
+    rng = np.random.default_rng(5)
+    for both in (False, True):
+        code = rng.integers(0, 400, 2000).astype(np.uint64) << np.uint64(55)
+        code[::2] = 77 << 55
+        x = rng.integers(0, 3, 2000).astype(np.uint64)
+        key, p = rng.integers(-5, 5, 2000), np.arange(2000)
+        pairs = list(zip(code.tolist(), x.tolist() if both else [0] * 2000))
+        want = {i for i, c in enumerate(pairs) if pairs.count(c) > 1}
+        for lots in (1, 7, 40):
+            dealt = {}
+            for i in range(lots):
+                for row in ask(code[i::lots], key[i::lots], p[i::lots], x[i::lots], 8, both).to_pylist():
+                    dealt.setdefault(row["part"], []).append(row)
+            assert max(sum(len(r["p"]) // 4 for r in rows) for rows in dealt.values()) < 600
+            got = []
+            for rows in dealt.values():
+                k, start, extra = answer([pa.RecordBatch.from_pylist(rows)], both)
+                assert (key[start] == k).all() and (x[start] == extra).all()
+                got += start.tolist()
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_grouped_runs(spark):
+    import numpy as np
+
+    from tracewright.llm.dealing import RUNS, by_key, grouped, numbers
+
+    rng = np.random.default_rng(2)
+    key, p, n = rng.integers(-3, 4, 500), rng.integers(0, 3000, 500), rng.integers(1, 9, 500)
+    rows = [r for b in by_key(key, p, n, 4) for r in b.to_pylist()]
+    got = grouped(spark.createDataFrame(rows, RUNS).repartition(3), 4, True).collect()
+    assert sorted(r["__key"] for r in got) == sorted(set(key.tolist()))
+    for r in got:
+        runs = list(zip(numbers(r.p).tolist(), numbers(r.n).tolist()))
+        assert all(a + m < b for (a, m), (b, _) in zip(runs, runs[1:]))
+        want = {i for k, a, m in zip(key.tolist(), p.tolist(), n.tolist()) if k == r["__key"] for i in range(a, a + m)}
+        assert {i for a, m in runs for i in range(a, a + m)} == want
 
 
 def test_many_ranges(spark):
+    """Range borders inside groups of one gram, small runs and small blocks change nothing."""
     from tracewright.llm.common import Workspace
+    from tracewright.llm.dealing import numbers
     from tracewright.llm.suffix_dedup import later_windows
 
     rows = [(i, (t or "").encode()) for i, t in corpus(9)]
     texts = spark.createDataFrame(rows, "__key long, text binary").repartition(4)
     sets = []
-    for run_rows, block_rows in ((60_000, 500), (50, 7)):
-        got = later_windows(texts, Workspace(spark, "t"), 40, 16, run_rows, block_rows).collect()
-        sets.append({(r["__key"], p) for r in got for s in r["__spans"] for p in range(s.p, s.p + s.n)})
+    for run_rows, block_rows, range_rows in ((60_000, 500, 300_000), (50, 7, 20)):
+        got = later_windows(texts, Workspace(spark, "t"), 40, 16, run_rows, block_rows, range_rows).collect()
+        sets.append({(r["__key"], i) for r in got for p, n in zip(numbers(r.p), numbers(r.n)) for i in range(p, p + n)})
     assert sets[0] == sets[1]
 
 
 def test_loser_merge():
     rng = random.Random(1)
+    shares = lambda x, y: next((i for i in range(6) if x[i] != y[i]), 6)
     for _ in range(200):
         runs = []
         for _ in range(rng.randint(1, 9)):
             strings = sorted({bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randint(0, 12))})
-            common = lambda x, y: next((i for i in range(6) if x[i] != y[i]), 6)
-            runs.append((strings, [0, *(common(a, b) for a, b in zip(strings, strings[1:]))][: len(strings)]))
-        out = list(loser_merge(runs))
-        got = [runs[r][0][i] for r, i, _ in out]
-        assert got == sorted(s for r in runs for s in r[0])
-        for (x, y), (_, _, n) in zip(zip(got, got[1:]), out[1:]):
-            assert n == common(x, y)
+            runs.append([(s, shares(strings[i - 1], s) if i else 0) for i, s in enumerate(strings)])
+        out = list(loser_merge([iter(r) for r in runs]))
+        got = [s for _, (s, _) in out]
+        assert got == sorted(s for r in runs for s, _ in r)
+        for (x, y), (n, _) in zip(zip(got, got[1:]), out[1:]):
+            assert n == shares(x, y)
+
+
+def test_names_that_clash(spark):
+    rows = [(i, "one two three four five six " * 9, 1, "b", 2) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key int, __p string, N_Removed int")
+    cut = drop_repeated_words(docs)
+    assert cut.columns == ["doc_id", "text", "__key", "__p", "n_words", "n_removed"]
+    assert {tuple(r) for r in cut.collect()} == {(i, "", 1, "b", 54, 54) for i in range(3)}
+    docs = docs.toDF("doc_id", "text", "__key", "p", "n")
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in drop_repeated_bytes(docs, 20, 8).collect())[0][0] == 0
 
 
 def test_empty(spark):

@@ -1,11 +1,11 @@
-"""Content-defined anchors: the shared first half of exact repeated-window search.
+"""Content-defined anchors: which windows of a corpus cannot repeat.
 
 Every window of ``window`` symbols has one anchor, the gram of ``gram`` symbols with the smallest
 hash in it (the first of equals). Equal windows have equal anchors at equal places, so a window can
-only repeat if its anchor does. Neighbouring windows with one anchor form a segment, and only
-segments travel: a few hundredths of all positions. Segments equal as a whole are settled at once;
-of each different one that shares its anchor with others, one representative goes on to be compared
-window by window. Nothing is sampled: every window lies in exactly one segment.
+only repeat if its anchor does. Neighbouring windows with one anchor form a segment. Anchors only
+ever rule windows out: a segment whose anchor occurs once drops, all others stay open, and whether
+their windows are equal is decided elsewhere. Nothing is sampled: every window lies in exactly one
+segment.
 """
 
 from __future__ import annotations
@@ -15,22 +15,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import slices
+from .dealing import ITEMS, RUNS, answer, ask, by_key, grouped, mix, parts_of
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = ~_LOW
 
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: equal in, equal out; close inputs far apart."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xCA5A826395121157)
-    return x ^ (x >> np.uint64(32))
-
-
 #: One 64-bit value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
@@ -38,36 +30,36 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 class Rolling:
     """Polynomial hashes (modulo 2^64) of any stretch of a symbol sequence, in constant time."""
 
-    _power = _inverse = np.ones(1, np.uint64)
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, base: int = _BASE) -> None:
         n = len(values)
-        if len(Rolling._power) < n + 1:
+        if base not in self._powers or len(self._powers[base][0]) < n + 1:
             size = max(1 << 18, 1 << n.bit_length())
-            step = np.full(size, _BASE, np.uint64)
-            back = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+            step = np.full(size, base, np.uint64)
+            back = np.full(size, pow(base, -1, 1 << 64), np.uint64)
             step[0] = back[0] = 1
-            Rolling._power, Rolling._inverse = np.cumprod(step), np.cumprod(back)
+            self._powers[base] = np.cumprod(step), np.cumprod(back)
+        power, self.inverse = self._powers[base]
         self.n, self.prefix = n, np.zeros(n + 1, np.uint64)
-        np.cumsum(values * Rolling._power[:n], out=self.prefix[1:])
+        np.cumsum(values * power[:n], out=self.prefix[1:])
 
     def all(self, length: int) -> np.ndarray:
         count = max(0, self.n - length + 1)
-        return mix((self.prefix[length : length + count] - self.prefix[:count]) * Rolling._inverse[:count])
+        return mix((self.prefix[length : length + count] - self.prefix[:count]) * self.inverse[:count])
 
     def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.prefix[start + length] - self.prefix[start]) * Rolling._inverse[start])
+        return mix((self.prefix[start + length] - self.prefix[start]) * self.inverse[start])
 
 
 def segments(values: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, ...]:
-    """(document number, first window, windows, gram hash, segment hash) of every segment of the
-    documents that lie in ``values`` between ``bounds``."""
+    """(document number, first window, windows, place of the anchor after it, gram hash) of every
+    segment of the documents that lie in ``values`` between ``bounds``."""
     count = np.maximum(np.diff(bounds) - window + 1, 0)
     total = int(count.sum())
     if not total:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    roll = Rolling(values)
-    grams = roll.all(gram)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    grams = Rolling(values).all(gram)
     least, span, need = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), 1, window - gram + 1
     while 2 * span <= need:
         least = np.minimum(least[:-span], least[span:])
@@ -76,183 +68,51 @@ def segments(values: np.ndarray, bounds: np.ndarray, gram: int, window: int) ->
         least = np.minimum(least[: len(least) - (need - span)], least[need - span :])
     p = np.arange(total) + np.repeat(bounds[:-1] - (np.cumsum(count) - count), count)
     anchor = (least[p] & _LOW).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    first, size = p[cut], np.diff(np.r_[cut, total])
-    doc = np.searchsorted(bounds, first, side="right") - 1
-    whole = roll.at(first, size + window - 1) ^ (size.astype(np.uint64) * np.uint64(_BASE))
-    return doc, first - bounds[doc], size, grams[anchor[cut]], whole
-
-
-ANCHORS = "deal long, apart int, gram long, seg long, key long, p long, n long, double int"
-_NAMES = [f.split()[0] for f in ANCHORS.split(", ")]
-#: ``apart``: classes to compare among those of their gram; classes known to be open; settled runs.
-_BY_GRAM, _OPEN, _SETTLED = range(3)
-
+    doc = np.repeat(np.arange(len(count)), count)
+    cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+    first, size, doc = p[cut], np.diff(np.r_[cut, total]), doc[cut]
+    return doc, first - bounds[doc], size, anchor[cut] - first, grams[anchor[cut]]
 
-def joined_runs(key: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows (key, p, n), those that touch or overlap made one (disjoint runs assumed)."""
-    if not len(key):
-        return key, p, n
-    order = np.lexsort((p, key))
-    key, p, n = key[order], p[order], n[order]
-    at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1] + n[:-1])])
-    return key[at], p[at], np.add.reduceat(n, at)
 
-
-def combine(gram: np.ndarray, seg: np.ndarray, key: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """What one map task sends on of its segments: a frequent stretch must not send all its rows to
-    the task of its gram.
-
-    Of equal segments the first goes on (``double`` set if there were others), the others are settled
-    here and sent by their document. Of a gram's different segments two go on by their gram, which
-    tells every other holder of that gram that it has several; the rest is known to be open and is
-    dealt by gram and segment. Equal segments that miss each other that way are both compared
-    window by window later, so nothing is lost."""
-    order = np.lexsort((p, key, seg, gram))
-    gram, seg, key, p, n = (c[order] for c in (gram, seg, key, p, n))
-    new_gram = np.r_[True, gram[1:] != gram[:-1]]
-    new = new_gram | np.r_[True, seg[1:] != seg[:-1]]
-    starts = np.flatnonzero(new)
-    double = (np.diff(np.r_[starts, len(gram)]) > 1).astype(np.int32)
-    opens = np.flatnonzero(new_gram[starts])
-    rank = np.arange(len(starts)) - np.repeat(opens, np.diff(np.r_[opens, len(starts)]))
-    apart = np.where(rank < 2, _BY_GRAM, _OPEN).astype(np.int32)
-    g, s = gram[starts], seg[starts]
-    deal = np.where(apart == _BY_GRAM, g, mix(g.view(np.uint64) ^ mix(s.view(np.uint64))).view(np.int64))
-    gone = ~new
-    gone_key, gone_p, gone_n = joined_runs(key[gone], p[gone], n[gone])
-    none = np.zeros(len(gone_key), np.int64)
-    columns = [
-        np.r_[deal, mix(gone_key.view(np.uint64)).view(np.int64)], np.r_[apart, np.full(len(none), _SETTLED, np.int32)],
-        np.r_[g, none], np.r_[s, none], np.r_[key[starts], gone_key], np.r_[p[starts], gone_p], np.r_[n[starts], gone_n],
-        np.r_[double, none.astype(np.int32)],
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
-
-
-def anchor_rows(
-    batches: Iterator[pa.RecordBatch], symbols: Callable[[bytes], np.ndarray], gram: int, window: int,
-    chunk: int = 1 << 17, most: int = 500_000,
+def anchor_items(
+    batches: Iterator[pa.RecordBatch], symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], gram: int, window: int,
+    parts: int, chunk: int = 1 << 20, most: int = 500_000,
 ) -> Iterator[pa.RecordBatch]:
-    """Combined segments of (key, UTF-8 text) rows, worked on in runs of about ``chunk`` symbols and
-    combined in lots of about ``most`` segments."""
-
-    def made(keys: list[int], parts: list[np.ndarray]) -> list[np.ndarray]:
-        bounds = np.cumsum([0, *map(len, parts)])
-        doc, p, n, g, s = segments(np.concatenate(parts), bounds, gram, window)
-        return [g.view(np.int64), s.view(np.int64), np.array(keys, np.int64)[doc], p, n]
-
-    def lot(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        rows = combine(*(np.concatenate(c) for c in zip(*held)))
-        for i in range(0, rows.num_rows, 1 << 16):
-            yield rows.slice(i, 1 << 16)
-
-    keys, parts, size = [], [], 0
+    """``ITEMS`` of the segments of (key, UTF-8 text) rows, worked on in runs of about ``chunk`` bytes
+    and dealt in lots of about ``most`` segments. x holds the number of windows (upper 16 bits) and
+    the place of the anchor."""
     held, count = [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            values = symbols(text.as_py() or b"")
-            if len(values) < window:
-                continue
-            keys.append(key)
-            parts.append(values)
-            size += len(values)
-            if size >= chunk:
-                held.append(made(keys, parts))
-                count += len(held[-1][0])
-                keys, parts, size = [], [], 0
-                if count >= most:
-                    yield from lot(held)
-                    held, count = [], 0
-    if parts:
-        held.append(made(keys, parts))
-    if held:
-        yield from lot(held)
-
-
-CLASSED = "settled boolean, key long, p long, n long, more boolean"
-
-
-def classify(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (apart, gram, seg, key, p) in; out come settled ones (equal to an earlier
-    one; with ``every``, equal to any other), and of each class of equal segments that is open or
-    whose gram has more classes the first one, with ``more`` true if the class has several.
-
-    Streams: only the first row of the open class and the last row wait for the next batch, so a
-    gram of any frequency takes constant memory."""
-    names = ["settled", "key", "p", "n", "more"]
-    rows = np.zeros((0, 7), np.int64)  # apart, gram, seg, key, p, n, double
-    done = 0  # rows at the front that only give context
-    first_class = double = False  # of the class that row 0 opens
-
-    def step(last: bool) -> pa.RecordBatch:
-        nonlocal rows, done, first_class, double
-        k = len(rows)
-        end = k if last else k - 1
-        new_gram = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
-        new = new_gram | np.r_[True, rows[1:, 2] != rows[:-1, 2]]
-        same_next = np.r_[~new[1:], False]
-        starts = np.flatnonzero(new)
-        firsts = new_gram[starts]
-        several = same_next[starts] | (rows[starts, 6] == 1)
-        if done:
-            firsts[0], several[0] = first_class, several[0] or double
-        settled = ~new | same_next | (rows[:, 6] == 1) if every else ~new
-        settled[:done] = False
-        settled[end:] = False
-        in_turn = (starts >= done) & (starts < end)
-        c = np.flatnonzero(in_turn & ~firsts)
-        apart = rows[starts, 0]
-        c = np.r_[c, c[firsts[c - 1] & (apart[c - 1] == _BY_GRAM)] - 1, np.flatnonzero(in_turn & (apart == _OPEN))]
-        c = np.unique(c).astype(np.int64)
-        at = np.flatnonzero(settled)
-        pick = np.r_[at, starts[c]]
-        more = np.r_[np.zeros(len(at), bool), several[c]]
-        out = rows[pick]
-        if not last and k:
-            open_class = int(np.searchsorted(starts, max(end - 1, 0), side="right")) - 1
-            if end:
-                first_class, double = bool(firsts[open_class]), bool(several[open_class])
-                rows, done = rows[[starts[open_class], k - 1]], 1
-            # with a single row so far, it simply waits
-        arrays = [np.arange(len(pick)) < len(at), out[:, 3], out[:, 4], out[:, 5], more]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
-
-    for batch in batches:
-        columns = [np.asarray(batch.column(i), np.int64) for i in range(1, 8)]
-        ready = columns[0] == _SETTLED
-        if ready.any():
-            true, false = np.ones(int(ready.sum()), bool), np.zeros(int(ready.sum()), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (true, *(c[ready] for c in columns[3:6]), false)], names)
-        if not ready.all():
-            rows = np.concatenate([rows, np.column_stack(columns)[~ready]])
-            yield step(False)
-    if len(rows):
-        yield step(True)
-
-
-def classed_segments(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], gram: int, window: int, every: bool) -> DataFrame:
-    """``CLASSED`` rows of docs (__key, text as UTF-8 binary). One shuffle, of combined anchors only."""
-    anchors = docs.mapInArrow(lambda batches: anchor_rows(batches, symbols, gram, window), ANCHORS)
-    dealt = anchors.repartition("deal").sortWithinPartitions("apart", "gram", "seg", "key", "p")
-    return dealt.mapInArrow(lambda batches: classify(batches, every), CLASSED)
-
-
-def merged(spans: list[dict], width: int) -> list[tuple[int, int]]:
-    """Sorted, disjoint (start, end) of windows given as runs (p, n) of starts."""
-    out: list[list[int]] = []
-    for p, n in sorted((s["p"], s["n"]) for s in spans):
-        end = p + n - 1 + width
-        if out and p <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([p, end])
-    return [(a, b) for a, b in out]
-
-
-def spans_by_key(*parts: DataFrame) -> DataFrame:
-    """(__key, __spans): all runs of removed windows of a document, which its length bounds."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("p", "n")).alias("__spans"))
+    for part in (s for b in batches for s in slices(b, "text", chunk)):
+        values, bounds = symbols([t or b"" for t in part.column("text").to_pylist()])
+        doc, p, n, a, g = segments(values, bounds, gram, window)
+        # Anchors are the least hashes of their windows: mixed once more, they are even again.
+        held.append((mix(g), np.asarray(part.column(0), np.int64)[doc], p, n << 16 | a))
+        count += len(g)
+        if count >= most:
+            yield ask(*(np.concatenate(c) for c in zip(*held)), parts)
+            held, count = [], 0
+    if count:
+        yield ask(*(np.concatenate(c) for c in zip(*held)), parts)
+
+
+def open_segments(texts: DataFrame, symbols: Callable, gram: int, window: int) -> DataFrame:
+    """``SPANS`` (__key, p, x as n) of the segments of (__key, text as UTF-8 binary) whose anchor is
+    met again. Two shuffles of packed numbers: by gram, then by document."""
+    if window - gram + 1 >= 1 << 16:
+        raise ValueError("a window may be at most 65534 symbols longer than its gram")
+    parts = parts_of(texts.sparkSession)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_key(*answer(batches), parts)
+
+    items = texts.mapInArrow(lambda batches: anchor_items(batches, symbols, gram, window, parts), ITEMS)
+    return grouped(items.repartitionById(parts, "part").mapInArrow(told, RUNS), parts, False)
+
+
+def covered(p: np.ndarray, n: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Disjoint (start, end) of the symbols in the windows of sorted runs (p, n) of starts."""
+    if not len(p):
+        return []
+    end = np.maximum.accumulate(p + n - 1 + width)
+    at = np.flatnonzero(np.r_[True, p[1:] > end[:-1]])
+    return list(zip(p[at].tolist(), end[np.r_[at[1:], len(p)] - 1].tolist()))

@@ -21,10 +21,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster sets
-    it; only where it is unset (tests, one machine) a temporary folder of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a
+    temporary folder of this process serves a local master (tests, one machine); a cluster, whose
+    executors could not see that folder, is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -103,14 +106,26 @@ def unique_ids(docs: DataFrame, id_col: str) -> bool:
     return n == ids
 
 
-def keyed(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
-    """docs with ``__key``, a unique long in the order of the ids.
+def free_name(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as keep it apart from docs' columns (which Spark
+    may compare without regard to case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame, work: Workspace, id_col: str, text_col: str, name: str = "__key") -> DataFrame:
+    """docs with a column ``name``, a unique long in the order of the ids.
 
     Unique ids are their own keys. Otherwise (null or repeated ids) the rows are range-partitioned
     by id and text, written, and numbered in that order: nulls first, equal ids by their texts."""
     key = F.col(id_col).cast("long")
     if unique_ids(docs, id_col):
-        return docs.withColumn("__key", key)
+        return docs.withColumn(name, key)
     order = [key.asc_nulls_first(), F.col(text_col).asc_nulls_first()]
     ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return work.save(ranged.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    return work.save(ranged.withColumn(name, F.monotonically_increasing_id()), "keyed")

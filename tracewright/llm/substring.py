@@ -6,29 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import Rolling, classed_segments, merged, spans_by_key
-from .common import Workspace, keyed, slices
-
-_WORD_VALUES: dict[bytes, int] = {}
-
-
-def word_values(text: bytes) -> np.ndarray:
-    """A 64-bit value for each word; values of words met before are kept in the Python worker."""
-    kept, words = _WORD_VALUES, text.split()
-    if len(kept) > 250_000:
-        kept.clear()
-    try:
-        return np.array(list(map(kept.__getitem__, words)), np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in kept:
-                kept[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array(list(map(kept.__getitem__, words)), np.uint64)
+from .anchors import Rolling, covered, open_segments
+from .common import Workspace, free_name, keyed, slices
+from .dealing import ITEMS, RUNS, answer, ask, by_key, grouped, numbers, parts_of
+from .words import windows, word_values
 
 
 def _levels(gram: int, window: int) -> list[int]:
@@ -38,43 +23,51 @@ def _levels(gram: int, window: int) -> list[int]:
     return out
 
 
-def repeated_windows(docs: DataFrame, work: Workspace, window: int, gram: int) -> DataFrame:
-    """(__key, __spans) of all windows of ``window`` words that also start elsewhere.
-
-    Level one looks at windows of ``gram`` words (the anchors): those that occur once drop out, and
-    with them every longer window around them. Survivors are extended to twice the length, level
-    by level up to ``window``; at each level only repeated ones go on. Stretches that repeat as a
-    whole are settled at level one, so that copies do not pay for the later levels."""
-    classed = work.save(classed_segments(docs, word_values, gram, window, True), "segments")
-    lengths = _levels(gram, window)[1:]
-    names = [f"h{n}" for n in lengths]
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b, "text", 1 << 20)):
-            out: list[list[np.ndarray]] = [[] for _ in range(3 + len(lengths))]
-            for key, text, segs in zip(*(part.column(i).to_pylist() for i in range(3))):
-                roll = Rolling(word_values(text))
-                for s in segs:
-                    p = np.arange(s["p"], s["p"] + s["n"])
-                    out[0].append(np.full(len(p), key, np.int64))
-                    out[1].append(p)
-                    out[2].append(np.full(len(p), 2 if s["more"] else 1, np.int64))
-                    for column, n in zip(out[3:], lengths):
-                        column.append(roll.at(p, n).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "p", "weight", *names])
-
-    open_ = classed.where("NOT settled").groupBy(F.col("key").alias("__key"))
-    open_ = open_.agg(F.collect_list(F.struct("p", "n", "more")).alias("segs"))
-    rows = docs.join(open_, "__key").select("__key", "text", "segs")
-    live = work.save(
-        rows.mapInArrow(extend, "key long, p long, weight long, " + ", ".join(f"{n} long" for n in names)), "level-0"
-    )
-    for k, name in enumerate(names):
-        twice = live.groupBy(name).agg(F.sum("weight").alias("n")).where("n > 1").select(name)
-        live = work.save(live.join(twice, name, "left_semi"), f"level-{k + 1}")
+def level_items(batches: Iterator[pa.RecordBatch], length: int, shift: int, last: bool, parts: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """``ITEMS`` of the candidates (runs p, n >> shift of window starts) of (key, text, p, n) rows: codes of the
+    ``length`` words from each start; on the ``last`` level x is a second, independent code."""
+    held, count = [], 0
+    for part in (s for b in batches for s in slices(b, "text", 1 << 20)):
+        keys, (first, size) = np.asarray(part.column(0), np.int64), ([numbers(d) for d in part.column(c).to_pylist()] for c in "pn")
+        own = np.repeat(np.arange(len(keys)), [len(r) for r in first])
+        *values, bounds = word_values(part.column("text").to_pylist(), *((0, 1) if last else (0,)))
+        at, doc, p = windows(bounds, own, np.concatenate(first), np.concatenate(size) >> shift)
+        codes = [Rolling(v).at(at, length) for v in values]
+        held.append((codes[0], keys[doc], p, codes[-1] if last else np.zeros(len(at), np.uint64)))
+        count += len(at)
+        if count >= most:
+            yield ask(*(np.concatenate(c) for c in zip(*held)), parts, last)
+            held, count = [], 0
+    if count:
+        yield ask(*(np.concatenate(c) for c in zip(*held)), parts, last)
+
+
+def repeated_windows(texts: DataFrame, work: Workspace, window: int, gram: int) -> DataFrame:
+    """``SPANS`` of all windows of ``window`` words of (__key, text) that also start elsewhere.
+
+    Level one looks at ``gram`` words: a window none of whose anchors (see ``anchors``) occurs again
+    cannot repeat. Of all other windows, the first ``2 * gram`` words are looked at, then twice as
+    many, up to ``window``; at each level only candidates whose words are met again go on. Codes of
+    64 bits decide who goes on, where a chance match costs nothing but work; the last level, which
+    decides what is removed, wants two independent ones equal.
+
+    A level is one shuffle of packed codes and one of surviving runs by document. A passage of many
+    documents sends one item for each lot of half a million to the task of its code."""
+    parts, lengths = parts_of(texts.sparkSession), _levels(gram, window)[1:]
+    alive = work.save(open_segments(texts, word_values, gram, window), "level-0")
+    for k, length in enumerate(lengths):
+        last = k == len(lengths) - 1
+
+        def told(batches: Iterator[pa.RecordBatch], last: bool = last) -> Iterator[pa.RecordBatch]:
+            key, p, _ = answer(batches, last)
+            yield from by_key(key, p, np.ones(len(p), np.int64), parts)
+
+        rows = texts.join(alive, "__key").select("__key", "text", "p", "n")
+        items = rows.mapInArrow(lambda b, n=length, shift=0 if k else 16, last=last: level_items(b, n, shift, last, parts), ITEMS)
+        runs = items.repartitionById(parts, "part").mapInArrow(told, RUNS)
+        alive = work.save(grouped(runs, parts, True), f"level-{k + 1}")
         work.drop(f"level-{k}")
-    settled = classed.where("settled").select("key", "p", "n")
-    return spans_by_key(settled, live.select("key", "p", F.lit(1).cast("long").alias("n")))
+    return alive
 
 
 def drop_repeated_words(
@@ -87,33 +80,36 @@ def drop_repeated_words(
     Words are runs of characters other than the six ASCII spaces, unchanged. Windows are judged on
     the input. Null texts have no words and become empty; null and repeated ids are allowed, each
     row is a document of its own, so the words of repeated rows of ``window`` words or more all go.
-    An empty table gives an empty result."""
+    A text of any length is one row and fits in a task. Other columns, whatever their names, are
+    kept. An empty table gives an empty result."""
     work = Workspace(docs.sparkSession, "substring")
-    own = keyed(docs.drop("n_words", "n_removed"), work, id_col, text_col)
-    texts = own.select("__key", F.encode(F.col(text_col), "UTF-8").alias("text"))
-    spans = work.save(repeated_windows(texts, work, window, gram), "spans")
-    joined = own.join(spans, "__key", "left")
+    docs = docs.drop("n_words", "n_removed")
+    key, p, n = free_name(docs, "__key", "__p", "__n")
+    own = keyed(docs, work, id_col, text_col, key)
+    texts = own.select(F.col(key).alias("__key"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
+    spans = repeated_windows(texts, work, window, gram).toDF(key, p, n)
     schema = T.StructType(
-        [f for f in own.schema if f.name != "__key"] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")]
+        [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema]
+        + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]
     )
-    schema[text_col].dataType = T.StringType()
-    at = schema.names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b, text_col)):
+        for part in (s for b in batches for s in slices(b, text_col)):
             texts, counts, gone = [], [], []
-            for text, found in zip(part.column(text_col).to_pylist(), part.column("__spans").to_pylist()):
+            for text, first, size in zip(*(part.column(c).to_pylist() for c in (text_col, p, n))):
                 words = (text or "").encode().split()
                 counts.append(len(words))
-                kept, last = [], 0
-                for a, b in merged(found or [], window):
-                    kept += words[last:a]
-                    last = b
-                kept += words[last:]
-                gone.append(len(words) - len(kept))
-                texts.append(b" ".join(kept).decode())
-            arrays = [part.column(n) for n in schema.names[:-2]] + [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
+                if first is not None:
+                    kept, last = [], 0
+                    for a, b in covered(numbers(first), numbers(size), window):
+                        kept += words[last:a]
+                        last = b
+                    words = kept + words[last:]
+                gone.append(counts[-1] - len(words))
+                texts.append(b" ".join(words).decode())
+            arrays = [part.column(i) for i in range(len(schema) - 2)] + [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return joined.select(*[c for c in schema.names[:-2]], "__spans").mapInArrow(cut, schema)
+    return own.join(spans, key, "left").select(*docs.columns, p, n).mapInArrow(cut, schema)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import Rolling, mix
+from .anchors import Rolling
 from .common import slices
+from .dealing import mix
 
 _EDGE = ".,;:!?\"'()[]{}|*"
 

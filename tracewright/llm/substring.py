@@ -62,7 +62,7 @@ def repeated_windows(texts: DataFrame, work: Workspace, window: int, gram: int)
             key, p, _ = answer(batches, last)
             yield from by_key(key, p, np.ones(len(p), np.int64), parts)
 
-        rows = texts.join(alive, "__key").select("__key", "text", "p", "n")
+        rows = texts.join(alive.hint("merge"), "__key").select("__key", "text", "p", "n")
         items = rows.mapInArrow(lambda b, n=length, shift=0 if k else 16, last=last: level_items(b, n, shift, last, parts), ITEMS)
         runs = items.repartitionById(parts, "part").mapInArrow(told, RUNS)
         alive = work.save(grouped(runs, parts, True), f"level-{k + 1}")
@@ -112,4 +112,4 @@ def drop_repeated_words(
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return own.join(spans, key, "left").select(*docs.columns, p, n).mapInArrow(cut, schema)
+    return own.join(spans.hint("merge"), key, "left").select(*docs.columns, p, n).mapInArrow(cut, schema)

@@ -387,7 +387,7 @@ def later_windows(
     """``SPANS`` of all ``width``-byte windows of (__key, text) that also start earlier."""
     spark, parts = texts.sparkSession, parts_of(texts.sparkSession)
     found = work.save(open_segments(texts, byte_values, gram, width), "segments")
-    rows = texts.join(found, "__key").select("__key", "text", "p", "n")
+    rows = texts.join(found.hint("merge"), "__key").select("__key", "text", "p", "n")
     runs = work.save(rows.mapInArrow(lambda b: _segment_runs(b, width, gram, run_rows, block_rows), BLOCKS), "runs", "uncompressed")
     work.drop("segments")
     merged = merged_runs(runs, work, "merged", width, gram, range_rows)
@@ -438,5 +438,5 @@ def drop_repeated_bytes(
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    joined = own.join(spans, "__key", "left").select("doc_id", "text", "p", "n")
+    joined = own.join(spans.hint("merge"), "__key", "left").select("doc_id", "text", "p", "n")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

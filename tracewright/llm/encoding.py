@@ -1,4 +1,4 @@
-"""Exact batch encoding with the ``tokenizers`` library, one call per distinct word.
+"""Exact batch encoding with the ``tokenizers`` library, one call per distinct piece.
 
 A tokenizer whose pre-tokenizer never joins what stands before a space to what follows may encode
 the parts of a text one by one. Two such families are recognised from the tokenizer's own file:
@@ -8,8 +8,11 @@ the parts of a text one by one. Two such families are recognised from the tokeni
   starts a new piece.
 * white space dropped (``drop``): every space is a cut.
 
-Any other tokenizer gets whole texts. Special strings hold no space in either family (this is
-checked), so the library's own handling of them is kept.
+Texts of plain characters only (printable ASCII, tab, line ends, the letters of Latin-1), on which
+normal forms change nothing but case, are cut further, into the very pieces of the family's pattern;
+those go straight to the model's merges. Any other tokenizer gets whole texts. Special strings hold
+no white space in either family (this is checked), and texts with one of their first two characters
+are not cut into pieces, so the library's own handling of them is kept.
 """
 
 from __future__ import annotations
@@ -22,6 +25,12 @@ from collections.abc import Callable, Iterator
 
 _TOUCHING = re.compile(r" (?=\s)|(?<=\s) ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
+#: The families' patterns for plain characters (in ``drop``, of lower case), the likeliest pieces first.
+_PIECES = {
+    "prefix": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+"),
+    "drop": re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+"),
+}
 #: Pre-tokenizer patterns that drop white space, as found in tokenizer files.
 _DROP_PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
@@ -33,7 +42,7 @@ _BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerat
 
 def family(spec: dict) -> str:
     """``prefix``, ``drop`` or ``whole``: where a text may be cut under this tokenizer file."""
-    if any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or []):
+    if any(t["content"].split() != [t["content"]] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or []):
         return "whole"
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
@@ -50,7 +59,7 @@ class WordEncoder:
     """``ids(texts)`` gives little-endian unsigned ids as bytes for each text, ``counts(texts)``
     their number.
 
-    The values of about ``words`` words are kept; when the cache is full only words met twice are
+    The values of about ``words`` pieces are kept; when the cache is full only pieces met twice are
     added, and when it then serves badly it is emptied. Long texts are handled in segments of about ``segment`` characters, cut where
     the family allows."""
 
@@ -62,7 +71,9 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.family = family(json.load(f))
+            spec = json.load(f)
+        self.family = family(spec)
+        self.marks = {t["content"][:2] for t in spec.get("added_tokens") or []}
         self.code = {2: "H", 4: "I"}[width]
         self.words, self.segment = words, segment
         self._kept: dict = {}
@@ -84,66 +95,65 @@ class WordEncoder:
             start = at
         yield text[start:] if start else text
 
+    def _plain(self, text: str) -> list[str] | None:
+        """The pattern's pieces of a plain text; None if it is not plain."""
+        if _PLAIN.fullmatch(text) is None or any(m in text for m in self.marks):
+            return None
+        return _PIECES[self.family].findall(text.lower() if self.family == "drop" else text)
+
     def _parts(self, text: str) -> tuple[str, list[str]]:
-        """The first part, and those that follow a space (without it)."""
+        """The first part, and those that follow a space (in ``prefix`` with it)."""
         if self.family == "drop":
-            return "", text.split(" ")
-        if (
-            "  " not in text
-            and " \n" not in text
-            and "\n " not in text
-            and text.replace("\n", "").isprintable()  # no other white space
-            or _TOUCHING.search(text) is None
-        ):
-            parts = text.split(" ")
-        else:
-            parts = [p[1:] if i else p for i, p in enumerate(_CUT.split(text))]
-        return parts[0], parts[1:]
-
-    def _spelled(self, words: list[str]) -> Iterator[tuple[str, list]]:
-        """(word, its tokens) of those words that are a single piece: the model merges them directly,
-        without the offsets and normal forms that a whole encoding also makes."""
+            return "", text.replace("\n", " ").split(" ")
+        if " \n" not in text and "\n " not in text and "  " not in text and text.replace("\n", "").isprintable() or _TOUCHING.search(text) is None:
+            first, *later = text.split(" ")
+            return first, [" " + w for w in later]
+        first, *later = _CUT.split(text)
+        return first, later
+
+    def _spelled(self, pieces: list[str]) -> Iterator[tuple[str, list]]:
+        """(piece, its tokens): the model merges a single piece directly, without the offsets and normal
+        forms that a whole encoding also makes."""
         tokenize = self.tokenizer.model.tokenize
-        if self.family == "prefix":
-            for w in words:
-                if w.isalpha():
-                    yield w, tokenize(_BYTES[32] + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)))
-        else:
-            for w in words:
-                if w.isalpha() and w.isascii():
-                    yield w, tokenize(w.lower())
+        for w in pieces:
+            yield w, tokenize(w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(_BYTES))
 
     def _run(self, texts: list[str], value: Callable, ids: Callable, join: Callable) -> list:
         if self.family == "whole":
             return [value(ids(e)) for e in self._encode(texts)]
-        kept, lead = self._kept, " " if self.family == "prefix" else ""
-        rows, firsts, gaps, new = [], [], [], set()
+        kept = self._kept
+        rows, firsts, gaps, pieces, words = [], [], [], set(), set()
         for text in texts:
             rows.append([])
             for seg in self._segments(text):
-                first, later = self._parts(seg)
-                firsts.append(first)
+                later, first = self._plain(seg), ""
+                new = pieces
+                if later is None:
+                    first, later = self._parts(seg)
+                    new = words
                 values = list(map(kept.get, later))
                 if None in values:
                     at = [i for i, v in enumerate(values) if v is None]
                     missing = [later[i] for i in at]
                     gaps.append((values, at, missing))
                     new.update(missing)
-                rows[-1].append((len(firsts) - 1, values))
-        starts = [value(ids(e)) for e in self._encode(firsts)]
-        if new:
-            words = list(new)
-            for w, tokens in self._spelled(words):
+                if first:
+                    rows[-1].append(len(firsts))
+                    firsts.append(first)
+                rows[-1].append(values)
+        starts = [value(ids(e)) for e in self._encode(firsts)] if firsts else []
+        if gaps:
+            for w, tokens in self._spelled(list(pieces)):
                 kept[w] = value([t.id for t in tokens])
             rest = [w for w in words if w not in kept]
-            for w, e in zip(rest, self._encode([lead + w for w in rest])):
+            for w, e in zip(rest, self._encode(rest)):
                 kept[w] = value(ids(e))
             for values, at, missing in gaps:
                 for i, w in zip(at, missing):
                     values[i] = kept[w]
             if len(kept) > self.words:
-                self._evict(words)
-        return [join([join((starts[i], join(values))) for i, values in row]) for row in rows]
+                self._evict([*pieces, *rest])
+        return [join([starts[v] if isinstance(v, int) else join(v) for v in row]) for row in rows]
 
     def _evict(self, words: list[str]) -> None:
         """Of the newest words, keep those met before; start again if the kept ones serve badly."""
@@ -151,7 +161,7 @@ class WordEncoder:
         kept, once = self._kept, self._once
         for w in words:
             if len(kept) > 1.2 * self.words or w not in once or len(w) > 64:
-                del kept[w]
+                kept.pop(w, None)
                 once.add(w)
         if len(once) > self.words:
             once.clear()

@@ -55,15 +55,38 @@ def family(spec: dict) -> str:
     return "whole"
 
 
+class _Pieces(dict):
+    """Values by piece; one that is missing is made on the way. About ``most`` are kept: of a full
+    cache's misses only those met twice, and a cache that then serves badly is emptied."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        self.make, self.most = make, most
+        self.once: set = set()
+        self.missed = 0
+
+    def __missing__(self, piece: str):
+        value = self.make(piece)
+        if len(self) < self.most or piece in self.once and len(self) < 1.2 * self.most and len(piece) <= 64:
+            self[piece] = value
+        else:
+            self.missed += 1
+            self.once.add(piece)
+            if len(self.once) > self.most:
+                self.once.clear()
+            if self.missed > 8 * self.most:
+                self.clear()
+                self.missed = 0
+        return value
+
+
 class WordEncoder:
     """``ids(texts)`` gives little-endian unsigned ids as bytes for each text, ``counts(texts)``
     their number.
 
-    The values of about ``words`` pieces are kept; when the cache is full only pieces met twice are
-    added, and when it then serves badly it is emptied. Long texts are handled in segments of about ``segment`` characters, cut where
+    The values of about ``words`` pieces are kept. Long texts are handled in segments of about ``segment`` characters, cut where
     the family allows."""
 
-    def __init__(self, path: str, width: int = 4, words: int = 400_000, segment: int = 1 << 20) -> None:
+    def __init__(self, path: str, width: int = 4, words: int = 800_000, segment: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,8 +100,7 @@ class WordEncoder:
         self.code = {2: "H", 4: "I"}[width]
         self.words, self.segment = words, segment
         self._kept: dict = {}
-        self._once: set = set()
-        self._missed = 0
+        self._made: _Pieces | None = None
 
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -111,63 +133,39 @@ class WordEncoder:
         first, *later = _CUT.split(text)
         return first, later
 
-    def _spelled(self, pieces: list[str]) -> Iterator[tuple[str, list]]:
-        """(piece, its tokens): the model merges a single piece directly, without the offsets and normal
-        forms that a whole encoding also makes."""
-        tokenize = self.tokenizer.model.tokenize
-        for w in pieces:
-            yield w, tokenize(w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(_BYTES))
-
     def _run(self, texts: list[str], value: Callable, ids: Callable, join: Callable) -> list:
         if self.family == "whole":
             return [value(ids(e)) for e in self._encode(texts)]
-        kept = self._kept
-        rows, firsts, gaps, pieces, words = [], [], [], set(), set()
+        if self._made is None:
+            tokenize = self.tokenizer.model.tokenize
+
+            def make(w: str):
+                """The model merges a single piece directly, without the offsets and normal forms that a
+                whole encoding also makes."""
+                spelled = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(_BYTES)
+                return value([t.id for t in tokenize(spelled)])
+
+            self._made = _Pieces(make, self.words)
+        known, kept = self._made.__getitem__, self._kept
+        if len(kept) > self.words:
+            kept.clear()
+        rows: list[list] = []
+        waiting: list[tuple[list, int, str, list[str]]] = []
         for text in texts:
             rows.append([])
             for seg in self._segments(text):
-                later, first = self._plain(seg), ""
-                new = pieces
-                if later is None:
-                    first, later = self._parts(seg)
-                    new = words
-                values = list(map(kept.get, later))
-                if None in values:
-                    at = [i for i, v in enumerate(values) if v is None]
-                    missing = [later[i] for i in at]
-                    gaps.append((values, at, missing))
-                    new.update(missing)
-                if first:
-                    rows[-1].append(len(firsts))
-                    firsts.append(first)
-                rows[-1].append(values)
-        starts = [value(ids(e)) for e in self._encode(firsts)] if firsts else []
-        if gaps:
-            for w, tokens in self._spelled(list(pieces)):
-                kept[w] = value([t.id for t in tokens])
-            rest = [w for w in words if w not in kept]
-            for w, e in zip(rest, self._encode(rest)):
-                kept[w] = value(ids(e))
-            for values, at, missing in gaps:
-                for i, w in zip(at, missing):
-                    values[i] = kept[w]
-            if len(kept) > self.words:
-                self._evict([*pieces, *rest])
-        return [join([starts[v] if isinstance(v, int) else join(v) for v in row]) for row in rows]
-
-    def _evict(self, words: list[str]) -> None:
-        """Of the newest words, keep those met before; start again if the kept ones serve badly."""
-        self._missed += len(words)
-        kept, once = self._kept, self._once
-        for w in words:
-            if len(kept) > 1.2 * self.words or w not in once or len(w) > 64:
-                kept.pop(w, None)
-                once.add(w)
-        if len(once) > self.words:
-            once.clear()
-        if self._missed > 8 * self.words:
-            kept.clear()
-            self._missed = 0
+                pieces = self._plain(seg)
+                if pieces is None:
+                    waiting.append((rows[-1], len(rows[-1]), *self._parts(seg)))
+                    rows[-1].append(None)
+                else:
+                    rows[-1].append(join(map(known, pieces)))
+        if waiting:
+            new = list({w for _, _, first, later in waiting for w in (first, *later) if w not in kept})
+            kept.update((w, value(ids(e))) for w, e in zip(new, self._encode(new)))
+            for row, i, first, later in waiting:
+                row[i] = join(map(kept.__getitem__, (first, *later)))
+        return [r[0] if len(r) == 1 else join(r) for r in rows]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         code = self.code

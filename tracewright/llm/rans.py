@@ -68,6 +68,8 @@ def encode_blocks(blocks: list[np.ndarray], table: Frequencies, lanes: int = 128
     share, start = table.share.astype(np.uint64), table.start.astype(np.uint64)
     most = share << np.uint64(63 - table.bits)
     width = np.uint64(table.bits)
+    place = np.zeros(int(table.symbols.max(initial=0)) + 1, np.int32)
+    place[table.symbols] = np.arange(len(table.symbols))
     order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
     steps = np.array([-(-len(blocks[i]) // lanes) for i in order], np.int64)
     out = [Block(0, lanes, every, np.zeros((0, lanes), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0) for _ in blocks]
@@ -76,7 +78,7 @@ def encode_blocks(blocks: list[np.ndarray], table: Frequencies, lanes: int = 128
     tall = int(steps[0])
     coded = np.zeros((tall, len(order), lanes), np.int32)
     for k, i in enumerate(order):
-        ids = np.searchsorted(table.symbols, blocks[i])
+        ids = place[blocks[i]]
         flat = np.zeros(int(steps[k]) * lanes, np.int32)  # the last step is filled with symbol 0
         flat[: len(ids)] = ids
         coded[: steps[k], k] = flat.reshape(-1, lanes)

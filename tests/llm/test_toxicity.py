@@ -50,6 +50,19 @@ def test_held_out_labels_are_not_read(spark):
     assert scores[0] == scores[1]
 
 
+def test_long_text_and_clashing_names(spark):
+    """A toxic phrase in the middle of a text of two million characters still shows."""
+    rows, labels = corpus(n=400)
+    calm = "lena rosit tule nolar " * 50_000
+    rows += [(5001, calm + "idiotic worthless pathetic idiotic " + calm), (5002, calm)]
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows], "doc_id long, text string, __score double, __Score_ string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity(docs.select("doc_id", "text"), labels, SMALL).collect()}
+    assert score[5001] > score[5002] and score[5002] < 0.5
+    kept = drop_toxic(docs, labels, SMALL)
+    assert kept.columns == docs.columns and 5002 in {r.doc_id for r in kept.collect()}
+
+
 def test_empty_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

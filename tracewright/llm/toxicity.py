@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import Rolling
-from .common import slices
+from .common import free_name, slices
 from .dealing import mix
 
 _EDGE = ".,;:!?\"'()[]{}|*"
@@ -20,20 +20,23 @@ _EDGE = ".,;:!?\"'()[]{}|*"
 
 @dataclass(frozen=True)
 class Settings:
-    """``most_rows`` bounds the training sample (half for each label, as far as there are so many) and
-    ``most_chars`` all its texts together: beyond that fewer rows are drawn, whatever their lengths.
-    Both bound the driver's memory. Everything else covers all data. ``neutral`` subwords that say nothing join every average, so that a short stretch
-    is not judged by one word; ``toxic_share`` is the weight of all toxic rows together in training."""
+    """``most_rows`` bounds the training sample (half for each label, as far as there are so many), and
+    ``most_words`` the distinct words learnt from one text: a text with more gives stretches spread
+    evenly over the whole of it, so no labelled text is left out for its length. Both bound the
+    driver's memory. Everything else covers all data. ``neutral`` subwords that say nothing join every
+    average, so that a short stretch is not judged by one word; ``toxic_share`` is the weight of all
+    toxic rows together in training. ``stretch`` and ``toxic_share`` were picked by ``chosen``, which
+    looks at training rows only."""
 
     buckets: int = 1 << 17
     size: int = 4
     grams: tuple[int, int] = (3, 5)
-    stretch: int = 16
+    stretch: int = 8
     neutral: int = 60
-    toxic_share: float = 0.3
+    toxic_share: float = 0.4
     decay: float = 1e-6
     most_rows: int = 3000
-    most_chars: int = 60_000_000
+    most_words: int = 4000
     steps: int = 50
     rate: float = 0.1
     seed: int = 11
@@ -66,6 +69,15 @@ def _words(text: str) -> list[str]:
     return list(dict.fromkeys(text.lower().split()))
 
 
+def _spread(words: list[str], s: Settings) -> list[str]:
+    """At most about ``most_words`` of the words, in stretches spread evenly over all of them."""
+    count, keep = -(-len(words) // s.stretch), max(1, s.most_words // s.stretch)
+    if count <= keep:
+        return words
+    firsts = [i * count // keep * s.stretch for i in range(keep)]
+    return [w for f in firsts for w in words[f : f + s.stretch]]
+
+
 def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, room: int = 1 << 17) -> np.ndarray:
     """Sums of ``values[index]`` over the ranges that begin at ``at``, of which about ``room`` rows are
     laid out at once."""
@@ -207,33 +219,41 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
     """Texts and labels of at most about ``most_rows`` documents that are not held out, by a hash of
-    their ids, half for each label. Only the chosen ids are sent to the documents' scan, and only the
-    distinct words of a text come back."""
+    their ids, half for each label. Only the chosen ids are sent to the documents' scan, and only
+    distinct words, one text for each id (of repeated ids the least), come back."""
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
-    own = own.where(F.col("__toxic").isin(0, 1) & ~held_out(F.col("__id")))
+    own = own.where(F.col("__toxic").isin(0, 1) & ~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     count = {r["__toxic"]: r["count"] for r in own.groupBy("__toxic").count().collect()}
     part = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
+    keep = F.lit(False)
+    for label, n in count.items():
+        keep = keep | ((F.col("__toxic") == label) & (part < int(1_000_000 * min(1.0, s.most_rows / 2 / n))))
+    # The sample is bounded by most_rows, so it may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text IS NOT NULL")
-
-    def drawn(most: float) -> DataFrame:
-        keep = F.lit(False)
-        for label, n in count.items():
-            keep = keep | ((F.col("__toxic") == label) & (part < int(1_000_000 * min(1.0, most / 2 / n))))
-        chosen = own.where(keep).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-        # The sample is bounded by most_rows, so it may be broadcast.
-        return texts.join(F.broadcast(chosen), "__id").select("__id", "text", "__toxic")
+    rows = texts.join(F.broadcast(own.where(keep)), "__id").select("__id", "text", "__toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in (p for b in batches for p in slices(b, "text")):
-            words = pa.array([" ".join(_words(t)) for t in p.column(1).to_pylist()], pa.string())
+            words = pa.array([" ".join(_spread(_words(t), s)) for t in p.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([p.column(0), words, p.column(2)], ["__id", "text", "__toxic"])
 
-    rows = drawn(s.most_rows)
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    if chars > s.most_chars:
-        rows = drawn(min(n, s.most_rows) * s.most_chars / chars)
-    rows = rows.mapInArrow(run, rows.schema).collect()
-    return [(r.text, r["__toxic"]) for r in sorted(rows, key=lambda r: (r["__id"], r.text))]
+    rows = rows.mapInArrow(run, rows.schema).groupBy("__id", "__toxic").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r["__toxic"]) for r in sorted(rows, key=lambda r: r["__id"])]
+
+
+def chosen(sample: list[tuple[str, int]], candidates: list[Settings], folds: int = 3) -> tuple[Settings, list[float]]:
+    """The candidate with the best mean accuracy (of both labels alike) over folds of a training sample,
+    each scored by weights learnt from the others; and all means."""
+    means = []
+    for s in candidates:
+        right = {0: [], 1: []}
+        for k in range(folds):
+            train, rest = ([x for i, x in enumerate(sample) if (i % folds == k) == own] for own in (False, True))
+            scorer = Scorer(Trainer([t for t, _ in train], [y for _, y in train], s).fit(), s)
+            for (_, y), score in zip(rest, scorer.scores([t for t, _ in rest])):
+                right[y].append((score >= 0.5) == y)
+        means.append(float(np.mean([np.mean(r) for r in right.values() if r])))
+    return candidates[int(np.argmax(means))], means
 
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings) -> np.ndarray:
@@ -270,7 +290,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     are not held out; texts alone are its input. A document's score is that of its most toxic
     stretch of words, so length does not thin it.
 
-    Null and empty texts get the score of no words. Null ids are held out; repeated rows get equal
+    Words are taken from whole texts of any length. Null and empty texts get the score of no words. Null ids are held out; repeated rows get equal
     scores. Labels other than 0 and 1 are left out. With no labels at all the score is 0.5 less a
     little (predicted 0). An empty table gives an empty result; other columns are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -283,6 +303,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), limit: float = 0.5) -> DataFrame:
     """docs without those that score ``limit`` or more (see ``toxicity``); columns unchanged. Null and
     empty texts stay, as no word speaks against them."""
-    scored = with_scores(docs, fitted(docs, labels, settings), settings, "__score")
+    (name,) = free_name(docs, "__score")
+    scored = with_scores(docs, fitted(docs, labels, settings), settings, name)
     silent = F.coalesce(F.length(F.trim(F.col("text"))) == 0, F.lit(True))
-    return scored.where((F.col("__score") < limit) | silent).drop("__score")
+    return scored.where((F.col(name) < limit) | silent).drop(name)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Colours of object types, in the order the types are sorted.
-COLOURS = ["#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf"]
+
+def colour(i: int) -> str:
+    """The i-th colour as DOT's hue, saturation, value: hues step by the golden ratio, so any number of
+    them stay apart and an index keeps its colour."""
+    return f"{(0.58 + i * 0.6180339887) % 1:.3f} {(0.75, 0.45)[i % 2]} {(0.7, 0.85)[i // 2 % 2]}"
+
 
 
 def _quoted(name: str):
@@ -38,12 +42,32 @@ def ocdfg_to_dot(edges: DataFrame) -> str:
     """A merged object-centric graph (object_type, src, dst, freq): parallel edges, a colour a type."""
     rows = edges.orderBy("object_type", "src", "dst").collect()
     types = sorted({r.object_type for r in rows})
-    colour = {t: COLOURS[i % len(COLOURS)] for i, t in enumerate(types)}
+    colours = {t: colour(i) for i, t in enumerate(types)}
     return "digraph {\n" + "".join(
-        f'"{r.src}" -> "{r.dst}" [color="{colour[r.object_type]}", label="{r.object_type} {r.freq}"];\n' for r in rows
+        f'"{r.src}" -> "{r.dst}" [color="{colours[r.object_type]}", label="{r.object_type} {r.freq}"];\n' for r in rows
     ) + "}\n"
 
 
+def aer_to_dot(aer: DataFrame) -> str:
+    """An AER (activity, type_a, type_b, cardinality): a cluster for each activity, its types as boxes of
+    the type's colour, its pairs as edges."""
+    rows = aer.orderBy("activity", "type_a", "type_b").collect()
+    types = sorted({t for r in rows for t in (r.type_a, r.type_b)})
+    lines = []
+    for i, a in enumerate(dict.fromkeys(r.activity for r in rows)):
+        own = [r for r in rows if r.activity == a]
+        lines.append(f'subgraph cluster_{i} {{ label="{a}";')
+        for t in sorted({t for r in own for t in (r.type_a, r.type_b)}):
+            lines.append(f'"{a}/{t}" [shape=box, label="{t}", color="{colour(types.index(t))}"];')
+        lines += [f'"{a}/{r.type_a}" -> "{a}/{r.type_b}" [dir=none, label="{r.cardinality}"];' for r in own] + ["}"]
+    return "digraph {\n" + "\n".join(lines) + "\n}\n"
+
+
+def event_text(df: DataFrame, name: str = "text") -> DataFrame:
+    """df with every event as one line of JSON."""
+    return df.withColumn(name, F.to_json(F.struct(*df.columns)))
+
+
 def aer_lines(aer: DataFrame) -> DataFrame:
     return aer.select(F.format_string("%s: %s → %s [%s]", "activity", "type_a", "type_b", "cardinality").alias("line"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,30 +51,49 @@ def node_count(pdfa: DataFrame) -> int:
     return pdfa.select("src").union(pdfa.select("dst")).distinct().count()
 
 
-def case_restarts(df: DataFrame, max_cases: int) -> DataFrame:
+def case_restarts(df: DataFrame, max_cases: int, stretch: int | None = None) -> DataFrame:
     """df with ``life``, which grows when a case comes back after ``max_cases`` or more distinct other
     cases: a table of that many cases, least recently used out, has forgotten it.
 
-    The distinct other cases between two events of a case are the events there that are the last of
-    their case before the later one. Only gaps longer than ``max_cases`` are looked at, cut into
-    stretches of the log that they share with the events."""
+    The log is cut into stretches of ``stretch`` events (50 times ``max_cases``), each gone through once
+    with such a table. What the table holds at first are the last cases before it: an event that is
+    the last of its case in its stretch is handed to the later ones up to the case's next event, or up
+    to a stretch with ``max_cases`` cases of its own. So the work grows with the events, not with the
+    gaps between them."""
     w = Window.partitionBy("case_id").orderBy("n")
-    rows = df.withColumn("__prev", F.lag("n").over(w)).withColumn("__next", F.lead("n").over(w))
-    known = df.select("case_id").distinct().count()
-    if known <= max_cases:
-        rows = rows.withColumn("__gone", F.lit(False))
-    else:
-        gaps = rows.where(F.col("n") - F.col("__prev") > max_cases).select(
-            F.col("n").alias("at"), F.col("__prev").alias("from")
-        )
-        step = max(1, max_cases)
-        cells = gaps.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / step), F.floor(F.col("at") / step))))
-        lasts = rows.select("n", F.coalesce("__next", F.lit(1 << 62)).alias("until"), F.floor(F.col("n") / step).alias("cell"))
-        inside = cells.join(lasts, "cell").where("n > `from` AND n < at AND until >= at")
-        others = inside.groupBy("at").agg(F.count("*").alias("others"))
-        rows = rows.join(others.withColumnRenamed("at", "n"), "n", "left")
-        rows = rows.withColumn("__gone", F.coalesce(F.col("others") >= max_cases, F.lit(False))).drop("others")
-    return rows.withColumn("life", F.sum(F.col("__gone").cast("int")).over(w)).drop("__prev", "__next", "__gone")
+    if df.select("case_id").distinct().count() <= max_cases:
+        return df.withColumn("life", F.lit(0).cast("long"))
+    size = stretch or 50 * max(1, max_cases)
+    own = df.select("n", "case_id", F.floor((F.col("n") - 1) / size).alias("at"))
+    lasts = own.groupBy("at", "case_id").agg(F.max("n").alias("n"))
+    lasts = lasts.withColumn("newer", F.row_number().over(Window.partitionBy("at").orderBy(F.col("n").desc())))
+    lasts = lasts.withColumn("again", F.lead("at").over(Window.partitionBy("case_id").orderBy("at"))).where(F.col("newer") <= max_cases)
+    # One row for each stretch: the next one that fills a table by itself.
+    full = own.groupBy("at").agg(F.countDistinct("case_id").alias("cases"))
+    later = Window.orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    ends = full.select("at", F.min(F.when(F.col("cases") >= max_cases, F.col("at"))).over(later).alias("full"), F.max("at").over(later).alias("last"))
+    given = lasts.join(ends, "at").where("last IS NOT NULL").withColumn("to", F.least("again", "full", "last"))
+    given = given.select("n", "case_id", F.explode(F.sequence(F.col("at") + 1, "to")).alias("at"), F.lit(True).alias("before"))
+    case_type = df.schema["case_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table: OrderedDict = OrderedDict()
+        gone = []
+        for n, case, before in pdf.sort_values("n")[["n", "case_id", "before"]].itertuples(index=False):
+            if case in table:
+                table.move_to_end(case)
+            else:
+                table[case] = None
+                if len(table) > max_cases:
+                    table.popitem(last=False)
+                if not before:
+                    gone.append((n, case))
+        return pd.DataFrame(gone, columns=["n", "case_id"])
+
+    rows = own.withColumn("before", F.lit(False)).unionByName(given)
+    fresh = rows.groupBy("at").applyInPandas(run, f"n long, case_id {case_type}").withColumn("__new", F.lit(1))
+    joined = df.join(fresh.select("n", "__new"), "n", "left")
+    return joined.withColumn("life", F.sum(F.coalesce("__new", F.lit(0))).over(w)).drop("__new")
 
 
 def soft_conformance(df: DataFrame, pdfa: DataFrame, alpha: float = 0.5, max_cases: int = 1000) -> DataFrame:

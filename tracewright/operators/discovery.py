@@ -26,19 +26,20 @@ def dfg(df: DataFrame, order: str = "n") -> DataFrame:
     return directly_follows(df, order).groupBy("src", "dst").agg(F.count("*").alias("freq"))
 
 
-def start_end_activities(edges: DataFrame, loops_count: bool = False) -> DataFrame:
-    """(activity, is_start, is_end): starts are sources that are no targets of other activities, ends
-    the reverse. A node with a self-loop only is neither, or both with ``loops_count``."""
+def start_end_activities(edges: DataFrame, loops_count: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, activity, is_start, is_end), for each graph that ``by`` names: starts are sources that are no
+    targets of other activities, ends the reverse. A node with a self-loop only is neither, or both
+    with ``loops_count``."""
     other = edges.where("src <> dst")
     pool = edges if loops_count else other
     marks = (
-        pool.select(F.col("src").alias("activity"), F.lit("s").alias("side"))
-        .union(pool.select("dst", F.lit("t")))
-        .union(other.select("src", F.lit("S")))
-        .union(other.select("dst", F.lit("T")))
+        pool.select(*by, F.col("src").alias("activity"), F.lit("s").alias("side"))
+        .union(pool.select(*by, "dst", F.lit("t")))
+        .union(other.select(*by, "src", F.lit("S")))
+        .union(other.select(*by, "dst", F.lit("T")))
     )
     has = lambda side: F.max(F.when(F.col("side") == side, 1).otherwise(0)) == 1
-    rows = marks.groupBy("activity").agg((has("s") & ~has("T")).alias("is_start"), (has("t") & ~has("S")).alias("is_end"))
+    rows = marks.groupBy(*by, "activity").agg((has("s") & ~has("T")).alias("is_start"), (has("t") & ~has("S")).alias("is_end"))
     return rows.where("is_start OR is_end")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cardinality import infer_cardinality
 from ..functions.lossy import at_ticks, lossy_states
 from ..order import last_index, with_index
+from ..workspace import written
 from .discovery import heuristics_lossy_ticks, start_end_activities
 
 #: The discriminators and commands of the message tables.
@@ -94,13 +96,43 @@ def aer_lossy_ticks(
     return rows.select((F.col("tick") * f - 1).alias("n"), "activity", "type_a", "type_b", "m.cardinality")
 
 
-def dfg_messages(indexed: DataFrame, model_update_frequency: int = 20, control_flow: dict[str, Callable] | list[str] | None = None) -> DataFrame:
-    """(msg, event_n, flat_pos, object_type, type_n): the messages of the per-type miners, numbered in the
-    order they come. With ``control_flow`` only its types have miners."""
+def create_command(messages: DataFrame, object_type: str | Column, command: str) -> DataFrame:
+    """(msg, object_type, command) for every row of messages: the type becomes ACTIVE or INACTIVE there."""
+    if command not in (ACTIVE, INACTIVE):
+        raise ValueError(f"a command is {ACTIVE} or {INACTIVE}")
+    of = F.lit(object_type) if isinstance(object_type, str) else object_type
+    return messages.select("msg", of.alias("object_type"), F.lit(command).alias("command"))
+
+
+def get_mode(control_flow: dict[str, Callable] | list[str] | None = None) -> str:
+    """``static`` where the types with miners are given, ``dynamic`` where they come with the events."""
     if control_flow is not None and not isinstance(control_flow, (dict, list)):
         raise TypeError("control_flow is a dict of miners or a list of types")
     if isinstance(control_flow, dict) and not all(map(callable, control_flow.values())):
         raise ValueError("miners must be callable")
+    return "dynamic" if control_flow is None else "static"
+
+
+def mined_types(indexed: DataFrame, control_flow: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(messages, models) of miners of one's own: each gets the flattened events of its type, numbered
+    from 1 in ``n``, and returns models (n, src, dst, freq) by the event they follow."""
+    get_mode(control_flow)
+    parts = []
+    for name, miner in control_flow.items():
+        own = miner(indexed.where(F.col("object_type") == name).drop("object_type"))
+        parts.append(own.select(F.lit(name).alias("object_type"), "n", "src", "dst", "freq"))
+    models = written(reduce(DataFrame.unionByName, parts), "models")
+    told = models.select("object_type", "n").distinct().join(indexed.select("object_type", "n", "event_n", "flat_pos"), ["object_type", "n"])
+    return with_index(told.select("event_n", "flat_pos", "object_type", F.col("n").alias("type_n")), "event_n", "flat_pos", name="msg"), models
+
+
+def dfg_messages(indexed: DataFrame, model_update_frequency: int = 20, control_flow: list[str] | None = None) -> DataFrame:
+    """(msg, event_n, flat_pos, object_type, type_n): the messages of the lossy miners, one for each type,
+    numbered in the order they come. With ``control_flow`` only its types have miners; miners of one's
+    own go to ``mined_types``."""
+    get_mode(control_flow)
+    if isinstance(control_flow, dict):
+        raise TypeError("a dict of miners goes to mined_types")
     rows = indexed.where((F.col("n") + 1) % model_update_frequency == 0)
     if control_flow is not None:
         rows = rows.where(F.col("object_type").isin(list(control_flow)))
@@ -185,6 +217,42 @@ def oc_miner(df: DataFrame, model_update_frequency: int = 20, max_approx_error:
     return messages, heuristics_lossy_ticks(indexed, model_update_frequency, max_approx_error, ["object_type"])
 
 
+def oc_stream(
+    df: DataFrame, messages: DataFrame, inclusion: Callable[[DataFrame], DataFrame] = relative_frequency, aer_model_update_frequency: int = 30
+) -> DataFrame:
+    """(pos, type, event_n, object_type, type_n, command): all messages of an object-centric run as one
+    stream. Of one event the AER message comes first, then its objects' models in flat order, each
+    behind the commands that it gives rise to (by type). ``inclusion`` makes (msg, object_type, command)
+    of the messages; any function of that shape will do."""
+    commands = inclusion(messages).join(messages.select("msg", "event_n", "flat_pos"), "msg")
+    none = lambda kind: F.lit(None).cast(kind)
+    told = messages.select("event_n", "flat_pos", F.lit(2).alias("k"), F.lit(DFG).alias("type"), "object_type", "type_n", none("string").alias("command"))
+    told = told.unionByName(
+        commands.select("event_n", "flat_pos", F.lit(1).alias("k"), F.lit(COMMAND).alias("type"), "object_type", none("long").alias("type_n"), "command")
+    )
+    ticks = df.where((F.col("n") + 1) % aer_model_update_frequency == 0).select(
+        F.col("n").alias("event_n"), F.lit(0).alias("flat_pos"), F.lit(0).alias("k"), F.lit(AER).alias("type"),
+        none("string").alias("object_type"), none("long").alias("type_n"), none("string").alias("command"),
+    )
+    rows = with_index(told.unionByName(ticks), "event_n", "flat_pos", "k", "object_type", "command", name="pos")
+    return rows.select("pos", "type", "event_n", "object_type", "type_n", "command")
+
+
+def merged_aer(messages: DataFrame, edges: DataFrame, aer: DataFrame, commands: DataFrame, aer_model_update_frequency: int = 30) -> DataFrame:
+    """(msg, activity, type_a, type_b, cardinality): at every message the newest AER (n, ...), without
+    activities that are not in the merged graph ``edges`` of that message and without types that are
+    not active there. AER models come every so many events, so the newest one follows from the event."""
+    f, last = aer_model_update_frequency, last_index(messages, "msg")
+    newest = messages.select("msg", (F.floor((F.col("event_n") + 1) / f) * f - 1).alias("n"))
+    rows = newest.join(aer, "n").drop("n")
+    on = active_spans(commands, last)
+    for side in ("type_a", "type_b"):
+        spans = on.select(F.col("object_type").alias(side), F.col("msg").alias("__from"), "until")
+        rows = rows.join(spans, side).where("msg BETWEEN __from AND until").drop("__from", "until")
+    nodes = edges.select("msg", F.col("src").alias("activity")).union(edges.select("msg", "dst")).distinct()
+    return rows.join(nodes, ["msg", "activity"], "left_semi").select("msg", "activity", "type_a", "type_b", "cardinality")
+
+
 def prune_aer(aer: DataFrame, ocdfg: DataFrame) -> DataFrame:
     """The rows of an AER (activity, type_a, type_b, ...) whose activity and both types are in the graph."""
     types = ocdfg.select("object_type").distinct()
@@ -199,6 +267,11 @@ def type_ends(ocdfg: DataFrame, object_type: str) -> DataFrame:
     return start_end_activities(ocdfg.where(F.col("object_type") == object_type).select("src", "dst"))
 
 
+def merged_ends(ocdfg: DataFrame) -> DataFrame:
+    """(msg, object_type, activity, is_start, is_end) of every merged graph."""
+    return start_end_activities(ocdfg, by=("msg", "object_type"))
+
+
 def edge_similarity(first: DataFrame, second: DataFrame) -> float:
     """Jaccard similarity of two edge sets (src, dst); 1.0 if both are empty."""
     both = first.select("src", "dst", F.lit(1).alias("x")).union(second.select("src", "dst", F.lit(2))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import last_index
+from ..order import last_index, with_index
 from .filters import Operator
 
 
@@ -13,6 +13,11 @@ def take(k: int) -> Operator:
     return lambda df: df.filter(F.col("n") <= k)
 
 
+def first_events(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first k events of a log that is not numbered yet, numbered: every task keeps k rows at most."""
+    return with_index(df.orderBy(*order).limit(k), *order)
+
+
 def skip_events(k: int) -> Operator:
     """Every k-th event: k, 2k, ..."""
     if k < 1:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import Operator
@@ -52,6 +53,23 @@ class EventLog:
         """A Python function from an iterator of pandas frames to another, for what columns cannot say."""
         return EventLog(self.df.mapInPandas(function, schema))
 
+    def map_with_state(self, step: Callable, schema: str) -> EventLog:
+        """A map with a state of its own for each case: ``step(state, event)`` gives the next state and a
+        list of rows (tuples of ``schema``); the state is None at first. Events come in the order of
+        ``n``, a case is one task's work. Rows carry case_id ahead of the new columns."""
+        names = [f.split()[0] for f in schema.split(",")]
+        kind = self.df.schema["case_id"].dataType.simpleString()
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            state, out = None, []
+            for event in pdf.itertuples(index=False):
+                state, rows = step(state, event)
+                out += [(event.case_id, *r) for r in rows]
+            return pd.DataFrame(out, columns=["case_id", *names])
+
+        ordered = self.df.withColumn("__n", F.row_number().over(Window.partitionBy("case_id").orderBy("n")))
+        return EventLog(ordered.groupBy("case_id").applyInPandas(lambda p: run(p.sort_values("__n")), f"case_id {kind}, {schema}"))
+
     def tap(self, name: str, *metrics: Column) -> EventLog:
         """Passes rows through and reports metrics about them (see ``DataFrame.observe``)."""
         return EventLog(self.df.observe(name, *metrics))
@@ -93,12 +111,25 @@ class EventLog:
     def sink(self, consume: Callable, close: Callable[[], None] | None = None) -> None:
         """Hands the rows to ``consume`` in order, one at a time, then closes. For small results; large
         ones are written with ``df.write``."""
+        self.subscribe(consume, on_end=close)
+
+    def subscribe(
+        self, on_next: Callable, on_error: Callable | None = None, on_completed: Callable | None = None, on_end: Callable | None = None
+    ) -> None:
+        """Rows in order to ``on_next``; then ``on_completed``, or ``on_error`` with what went wrong (which
+        is raised where no handler is given); ``on_end`` in either case."""
         try:
             for row in self.df.orderBy("n").toLocalIterator():
-                consume(row)
+                on_next(row)
+            if on_completed:
+                on_completed()
+        except Exception as e:
+            if on_error is None:
+                raise
+            on_error(e)
         finally:
-            if close:
-                close()
+            if on_end:
+                on_end()
 
     def print_sink(self, fmt: Callable = str) -> None:
         self.sink(lambda row: print(fmt(row)))

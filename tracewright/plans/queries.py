@@ -99,7 +99,7 @@ def exclude_trace_attr(spark, sf_dir):
 
 @query(f"{LOG} SELECT n, event_id FROM log WHERE n <= 100")
 def take(spark, sf_dir):
-    return log(spark, sf_dir).transform(windows.take(100)).select("n", "event_id")
+    return windows.first_events(table(spark, sf_dir, "events").select("ts", "event_id"), 100, "ts", "event_id").select("n", "event_id")
 
 
 @query(f"{LOG} SELECT n, event_id FROM log WHERE n % 7 = 0")
@@ -166,12 +166,47 @@ def concat(spark, sf_dir):
 
 @query("SELECT coalesce(bool_and(value >= 0), true) AS all_positive FROM events")
 def all_match(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.coalesce(F.bool_and(F.col("value") >= 0), F.lit(True)).alias("all_positive"))
+    found = EventLog(raw_log(spark, sf_dir)).all_match(F.col("value") >= 0)
+    return spark.createDataFrame([(found,)], "all_positive boolean")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id LIMIT 1")
 def find_first(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'purchase'").orderBy("ts", "event_id").limit(1).select("event_id", "user_id")
+    found = EventLog(raw_log(spark, sf_dir)).find_first(F.col("activity") == "purchase")
+    return spark.createDataFrame([(found.event_id, found.case_id)] if found else [], "event_id long, user_id long")
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events")
+def map_events(spark, sf_dir):
+    return EventLog(raw_log(spark, sf_dir)).map(twice=F.col("value") * 2).df.select("event_id", "twice")
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) % 2 = 0")
+def lambda_operator(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return EventLog(raw_log(spark, sf_dir)).map_not_null("k", F.when(k % 2 == 0, k)).df.select("event_id", "k")
+
+
+@query("SELECT event_id, unnest(string_split(event_type, 'i')) AS part FROM events")
+def flat_map_events(spark, sf_dir):
+    return EventLog(raw_log(spark, sf_dir)).flat_map("part", F.split("activity", "i")).df.select("event_id", "part")
+
+
+@query("SELECT case_id, count(*)::BIGINT AS n_events, sum(value > 50)::BIGINT AS n_high FROM (SELECT user_id AS case_id, value FROM events) GROUP BY case_id")
+def map_with_state(spark, sf_dir):
+    """A user-defined map with a state for each case; here it counts and puts out its last state."""
+
+    def step(state, event):
+        state = state or (0, 0)
+        return (state[0] + 1, state[1] + (event.value > 50)), [(state[0] + 1, state[1] + int(event.value > 50))]
+
+    rows = EventLog(raw_log(spark, sf_dir)).map_with_state(step, "n_events long, n_high long").df
+    return rows.groupBy("case_id").agg(F.max("n_events").alias("n_events"), F.max("n_high").alias("n_high"))
+
+
+@query(f"{LOG} SELECT n, event_id FROM log WHERE activity = 'view' AND n % 3 = 0")
+def rx_pipe(spark, sf_dir):
+    return EventLog(log(spark, sf_dir)).pipe(windows.skip_events(3), filters.retains_activity_filter(["view"])).df.select("n", "event_id")
 
 
 @query(
@@ -300,13 +335,13 @@ def behavioral_conformance(spark, sf_dir):
 
 
 def _pdfa(spark, sf_dir):
-    edges = dfg_counts(spark, sf_dir).where("src <> 'error' AND dst <> 'error'")
+    edges = dfg_counts(spark, sf_dir)
     total = edges.groupBy("src").agg(F.sum("freq").alias("total"))
     return edges.join(total, "src").select("src", "dst", (F.col("freq") / F.col("total")).alias("prob"))
 
 
 PDFA = (
-    f"{LOG}, e AS (SELECT src, dst, count(*) AS c FROM rel WHERE src <> 'error' AND dst <> 'error' GROUP BY ALL), "
+    f"{LOG}, e AS (SELECT src, dst, count(*) AS c FROM rel GROUP BY ALL), "
     "pdfa AS (SELECT src, dst, c / sum(c) OVER (PARTITION BY src) AS prob FROM e), nodes AS (SELECT src AS a FROM e UNION SELECT dst FROM e), "
     "k AS (SELECT count(*) AS k FROM nodes), norm AS (SELECT x.a AS src, y.a AS dst, coalesce(prob, 0) * 0.7 + 0.3 / (SELECT k FROM k) AS prob FROM nodes x CROSS JOIN nodes y "
     "LEFT JOIN pdfa ON src = x.a AND dst = y.a) "
@@ -326,14 +361,14 @@ def _soft_sql(cases: int) -> str:
         "s AS (SELECT p.n, case_id, activity, sum(gone) OVER (PARTITION BY case_id ORDER BY p.n) AS life FROM p JOIN lives USING (n)), "
         "l AS (SELECT n, case_id, life, lag(activity) OVER (PARTITION BY case_id, life ORDER BY n) AS src, activity FROM s), "
         "q AS (SELECT n, case_id, life, CASE WHEN l.src IS NOT NULL THEN coalesce(prob, 0) END AS pr FROM l LEFT JOIN norm ON norm.src = l.src AND norm.dst = l.activity) "
-        "SELECT n, case_id, round(pr, 6) AS last_prob, round(coalesce(avg(pr) OVER w, 0), 6) AS mean_prob, "
+        "SELECT n, case_id, round(pr, 6) AS last_prob, round(1 + coalesce(sum(CASE WHEN pr > 0 THEN -ln(pr) WHEN pr = 0 THEN 'inf'::DOUBLE END) OVER w, 0), 6) AS log_prob, round(coalesce(avg(pr) OVER w, 0), 6) AS mean_prob, "
         "round(coalesce(avg(pr) OVER w, 0) / (0.7 + 0.3 / (SELECT k FROM k)), 6) AS soft_conformance FROM q WINDOW w AS (PARTITION BY case_id, life ORDER BY n)"
     )
 
 
 def _soft(spark, sf_dir, cases):
     rows = conformance.soft_conformance(log(spark, sf_dir), _pdfa(spark, sf_dir), 0.7, cases)
-    return rows.select("n", "case_id", *(F.round(c, 6).alias(c) for c in ("last_prob", "mean_prob", "soft_conformance")))
+    return rows.select("n", "case_id", *(F.round(c, 6).alias(c) for c in ("last_prob", "log_prob", "mean_prob", "soft_conformance")))
 
 
 @query(_soft_sql(1000))
@@ -420,11 +455,6 @@ def aer_cardinality(spark, sf_dir):
     return objects.cardinalities(objects.type_pairs(oc_log(spark, sf_dir)))
 
 
-@query()
-def aer_lossy_ticks(spark, sf_dir):
-    return objects.aer_lossy_ticks(oc_log(spark, sf_dir), 1000, 0.01)
-
-
 def _messages(spark, sf_dir):
     return objects.dfg_messages(objects.per_type_index(objects.flatten(oc_log(spark, sf_dir))), 20)
 
@@ -453,27 +483,112 @@ def strategy_window(spark, sf_dir):
     return objects.sliding_window_inclusion(_messages(spark, sf_dir), 8)
 
 
-@query()
+@query(
+    OC + ", mf AS (SELECT object_type, list(msg ORDER BY msg) AS ns FROM msg GROUP BY ALL), "
+    "ms AS (SELECT object_type, ns, list_reduce(ns, lambda s, n: {'f': CASE WHEN s.f = 0 OR greatest(s.b, s.f + s.d) <= ceil(n / 10) - 1 THEN 1 ELSE s.f + 1 END, "
+    "'d': CASE WHEN s.f = 0 OR greatest(s.b, s.f + s.d) <= ceil(n / 10) - 1 THEN ceil(n / 10)::BIGINT - 1 ELSE s.d END, 'b': ceil(n / 10)::BIGINT, "
+    "'h': list_append(s.h, {'new': s.f = 0 OR greatest(s.b, s.f + s.d) <= ceil(n / 10) - 1, "
+    "'r': CASE WHEN s.f = 0 OR greatest(s.b, s.f + s.d) <= ceil(n / 10) - 1 THEN ceil(n / 10)::BIGINT ELSE s.f + 1 + s.d END})}, "
+    "{'f': 0::BIGINT, 'd': 0::BIGINT, 'b': 0::BIGINT, 'h': []::STRUCT(new BOOLEAN, r BIGINT)[]}).h AS h FROM mf), "
+    "mu AS (SELECT object_type, unnest(ns) AS msg, unnest(h) AS h FROM ms), "
+    "mg AS (SELECT *, 10 * greatest(ceil(msg / 10)::BIGINT, h.r) AS gone, lead(msg) OVER (PARTITION BY object_type ORDER BY msg) AS nxt FROM mu) "
+    "SELECT msg, object_type, 'ACTIVE' AS command FROM mg WHERE h.new UNION ALL "
+    "SELECT gone, object_type, 'INACTIVE' FROM mg WHERE gone < coalesce(nxt, (SELECT max(msg) + 1 FROM msg))"
+)
 def strategy_lossy(spark, sf_dir):
     return objects.lossy_inclusion(_messages(spark, sf_dir), 0.1)
 
 
+def _active_sql(messages: str) -> str:
+    """(msg, object_type, on_): the types that relative frequency holds active at every message."""
+    return (
+        f"(SELECT m.msg, t.object_type, sum((m.object_type = t.object_type)::INT) OVER (PARTITION BY t.object_type ORDER BY m.msg) / m.msg >= 0.15 AS on_ "
+        f"FROM {messages} m CROSS JOIN (SELECT DISTINCT object_type FROM {messages}) t)"
+    )
+
+
+@query(
+    OC + f", c AS {_active_sql('msg')}, d AS (SELECT *, coalesce(lag(on_) OVER (PARTITION BY object_type ORDER BY msg), false) AS was FROM c), "
+    "u AS (SELECT event_n, flat_pos, 2 AS k, 'dfg' AS type, object_type, type_n, NULL AS command FROM msg "
+    "UNION ALL SELECT event_n, flat_pos, 1, 'command', d.object_type, NULL, CASE WHEN on_ THEN 'ACTIVE' ELSE 'INACTIVE' END FROM d JOIN msg USING (msg) WHERE on_ <> was "
+    "UNION ALL SELECT n, 0, 0, 'aer', NULL, NULL, NULL FROM ev WHERE (n + 1) % 300 = 0) "
+    "SELECT row_number() OVER (ORDER BY event_n, flat_pos, k, object_type) AS pos, type, event_n, coalesce(object_type, '') AS object_type, coalesce(type_n, 0) AS type_n, coalesce(command, '') AS command FROM u"
+)
+def oc_stream(spark, sf_dir):
+    own = oc_log(spark, sf_dir)
+    messages = objects.dfg_messages(objects.per_type_index(objects.flatten(own)), 20)
+    rows = objects.oc_stream(own, messages, lambda m: objects.relative_frequency(m, 0.15), 300)
+    return rows.na.fill("", ["object_type", "command"]).na.fill(0, ["type_n"])
+
+
+#: A miner of one's own for each type: plain counts after every 200 events of the type.
+OC_MERGED = OC + (
+    ", tr AS (SELECT * FROM (SELECT object_type, m, lag(activity) OVER (PARTITION BY object_type, case_id ORDER BY m) AS src, activity AS dst FROM ty) WHERE src IS NOT NULL), "
+    "first AS (SELECT object_type, min(m) AS m FROM tr GROUP BY ALL), "
+    "cm AS (SELECT row_number() OVER (ORDER BY n, flat_pos) AS msg, n AS event_n, t.object_type, t.m AS type_n FROM ty t JOIN first f ON f.object_type = t.object_type AND f.m <= t.m WHERE t.m % 200 = 0), "
+    "mo AS (SELECT t.object_type, t.type_n, r.src, r.dst, count(*) AS freq FROM cm t JOIN tr r ON r.object_type = t.object_type AND r.m <= t.type_n GROUP BY ALL), "
+    f"ac AS {_active_sql('cm')}, "
+    "now AS (SELECT a.msg, a.object_type, max(c.type_n) AS type_n FROM ac a JOIN cm c ON c.object_type = a.object_type AND c.msg <= a.msg WHERE a.on_ GROUP BY ALL), "
+    "edges AS (SELECT msg, object_type, src, dst, freq::BIGINT AS freq FROM now JOIN mo USING (object_type, type_n)) "
+)
+
+
+def _counting_miner(events: DataFrame) -> DataFrame:
+    return discovery.simple_dfg_ticks(events, 200, 0.0)
+
+
 def _merged(spark, sf_dir):
     own = oc_log(spark, sf_dir)
-    messages, models = objects.oc_miner(own)
-    return own, objects.merged_ocdfg(messages, models, objects.relative_frequency(messages, 0.15))
+    types = ["Customer", "Order", "Part", "Supplier"]
+    messages, models = objects.mined_types(objects.per_type_index(objects.flatten(own)), dict.fromkeys(types, _counting_miner))
+    commands = objects.relative_frequency(messages, 0.15)
+    return own, messages, commands, objects.merged_ocdfg(messages, models, commands)
 
 
-@query()
+@query(OC_MERGED + "SELECT * FROM edges")
 def oc_merge(spark, sf_dir):
-    return _merged(spark, sf_dir)[1].groupBy("msg", "object_type").agg(F.count("*").alias("n_edges"), F.sum("freq").alias("freq"))
+    return _merged(spark, sf_dir)[3]
+
+
+#: Lossy counts of cardinalities: a fold over the buckets of every activity, pair and cardinality.
+AER = (
+    ", ai AS (SELECT n, activity, row_number() OVER (PARTITION BY activity ORDER BY n) AS d FROM ev), "
+    "ao AS (SELECT pr.*, d, ceil(d / 100)::BIGINT AS b, row_number() OVER (PARTITION BY activity, type_a, type_b, cardinality, ceil(d / 100) ORDER BY n) AS r, "
+    "lead(n) OVER (PARTITION BY activity, type_a, type_b, cardinality ORDER BY n) AS nxt FROM pr JOIN ai USING (n, activity)), "
+    "ab AS (SELECT activity, type_a, type_b, cardinality, b, count(*) AS c, min(n) AS first_n FROM ao GROUP BY ALL), "
+    "al AS (SELECT activity, type_a, type_b, cardinality, list({'b': b, 'c': c, 'n': first_n} ORDER BY b) AS bs FROM ab GROUP BY ALL), "
+    "af AS (SELECT activity, type_a, type_b, cardinality, list_reduce(bs, lambda s, x: {"
+    "'f': CASE WHEN s.f = 0 OR greatest(s.l, s.f + s.d) <= x.b - 1 THEN x.c ELSE s.f + x.c END, "
+    "'d': CASE WHEN s.f = 0 OR greatest(s.l, s.f + s.d) <= x.b - 1 THEN x.b ELSE s.d END, "
+    "'born': CASE WHEN s.f = 0 OR greatest(s.l, s.f + s.d) <= x.b - 1 THEN x.n ELSE s.born END, 'l': x.b, "
+    "'h': list_append(s.h, {'b': x.b, 'f': CASE WHEN s.f = 0 OR greatest(s.l, s.f + s.d) <= x.b - 1 THEN 0 ELSE s.f END, "
+    "'d': CASE WHEN s.f = 0 OR greatest(s.l, s.f + s.d) <= x.b - 1 THEN x.b ELSE s.d END, "
+    "'born': CASE WHEN s.f = 0 OR greatest(s.l, s.f + s.d) <= x.b - 1 THEN x.n ELSE s.born END})}, "
+    "{'f': 0::BIGINT, 'd': 0::BIGINT, 'born': 0::BIGINT, 'l': 0::BIGINT, 'h': []::STRUCT(b BIGINT, f BIGINT, d BIGINT, born BIGINT)[]}).h AS h FROM al), "
+    "ah AS (SELECT activity, type_a, type_b, cardinality, unnest(h) AS h FROM af), "
+    "ast AS (SELECT o.*, h.f + r AS freq, h.born AS born, 100 * greatest(o.b, h.f + r + h.d) AS gone FROM ao o JOIN ah ON ah.activity = o.activity AND ah.type_a = o.type_a AND ah.type_b = o.type_b AND ah.cardinality = o.cardinality AND ah.h.b = o.b), "
+    "tk AS (SELECT unnest(range(%d - 1, (SELECT max(n) + 1 FROM ev), %d)) AS t), "
+    "ad AS (SELECT t, activity, max(d) AS d FROM tk JOIN ai ON ai.n <= t GROUP BY ALL), "
+    "am AS (SELECT t AS n, s.activity, type_a, type_b, cardinality, row_number() OVER (PARTITION BY t, s.activity, type_a, type_b ORDER BY freq DESC, born) AS best "
+    "FROM ast s JOIN ad ON ad.activity = s.activity AND s.n <= t AND (nxt IS NULL OR t < nxt) WHERE ad.d < gone), "
+    "aer AS (SELECT n, activity, type_a, type_b, cardinality FROM am WHERE best = 1) "
+)
 
 
-@query()
+@query(OC + AER % (1000, 1000) + "SELECT * FROM aer")
+def aer_lossy_ticks(spark, sf_dir):
+    return objects.aer_lossy_ticks(oc_log(spark, sf_dir), 1000, 0.01)
+
+
+@query(
+    OC_MERGED + AER % (300, 300) + ", an AS (SELECT msg, (event_n + 1) // 300 * 300 - 1 AS n FROM cm), "
+    "nodes AS (SELECT msg, src AS activity FROM edges UNION SELECT msg, dst FROM edges) "
+    "SELECT msg, activity, type_a, type_b, cardinality FROM an JOIN aer USING (n) JOIN nodes USING (msg, activity) "
+    "WHERE (msg, type_a) IN (SELECT (msg, object_type) FROM ac WHERE on_) AND (msg, type_b) IN (SELECT (msg, object_type) FROM ac WHERE on_)"
+)
 def aer_pruned(spark, sf_dir):
-    own, graph = _merged(spark, sf_dir)
-    final = graph.agg(F.max("msg")).first()[0]
-    return objects.prune_aer(objects.cardinalities(objects.type_pairs(own)), graph.where(F.col("msg") == final))
+    own, messages, commands, edges = _merged(spark, sf_dir)
+    return objects.merged_aer(messages, edges, objects.aer_lossy_ticks(own, 300, 0.01), commands, 300)
 
 
 @query("SELECT role AS src, nxt AS dst, count(*)::BIGINT AS freq FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL GROUP BY ALL")
@@ -498,6 +613,15 @@ def dict_ocel_dfg(spark, sf_dir):
     return objects.oc_dfg(objects.flatten(dict_ocel_log(spark, [(TEMPLATE, 7)]))).withColumn("freq", F.col("freq").cast("int"))
 
 
+@query("SELECT * FROM (VALUES ('Customer', 'register', true, false), ('Customer', 'order', false, true), ('Order', 'order', true, false), ('Order', 'add', false, true)) v(object_type, activity, is_start, is_end)")
+def oc_merge_ends(spark, sf_dir):
+    own = dict_ocel_log(spark, [(TEMPLATE, 30)])
+    messages, models = objects.oc_miner(own, 10)
+    merged = objects.merged_ocdfg(messages, models, objects.relative_frequency(messages, 0.05))
+    last = merged.agg(F.max("msg")).first()[0]
+    return objects.merged_ends(merged).where(F.col("msg") == last).where("object_type <> 'Item'").drop("msg")
+
+
 @query(
     f"{LOG}, e AS (SELECT src, dst, count(*) AS c FROM rel GROUP BY ALL), w AS (SELECT src, dst, c / max(c) OVER () AS x FROM e) "
     "SELECT src, dst, '\"' || src || '\" -> \"' || dst || '\" [penwidth=' || printf('%.2f', greatest(0.5, least(5, 5 * x))) || ', label=\"' || printf('%.2f', x) || '\"];' AS line FROM w"

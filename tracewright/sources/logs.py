@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,12 +134,16 @@ def log_source(spark: SparkSession, log) -> DataFrame:
         return xes_log(spark, log)
     if isinstance(log, (list, tuple)):
         return string_log(spark, log)
+    if isinstance(log, pd.DataFrame):
+        log = spark.createDataFrame(log)
     if not isinstance(log, DataFrame):
-        try:
-            log = spark.createDataFrame(log)
-        except Exception:
-            return string_log(spark, []).limit(0)
-    quoted = log.toDF(*[c.replace(":", "_") for c in log.columns])
-    ts = "time_timestamp" if "time_timestamp" in quoted.columns else "__now"
-    quoted = quoted.withColumn("__now", F.current_timestamp())
-    return from_table(quoted, "case_concept_name", "concept_name", ts, keep=[c for c in quoted.columns if c not in ("case_concept_name", "concept_name", ts, "__now")])
+        return string_log(spark, []).limit(0)
+    own = log.toDF(*[c.replace(":", "_") for c in log.columns])
+    names = {"case_concept_name", "concept_name", "time_timestamp"}
+    ts = F.col("time_timestamp") if "time_timestamp" in own.columns else F.current_timestamp()
+    # Ties keep the order of the table's rows.
+    rows = own.select(
+        F.col("case_concept_name").cast("string").alias("case_id"), F.col("concept_name").alias("activity"), ts.alias("ts"),
+        *[c for c in own.columns if c not in names], F.lit("log-file").alias("process"), F.monotonically_increasing_id().alias("__row"),
+    )
+    return with_index(rows, "ts", "__row").drop("__row")

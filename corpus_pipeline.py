@@ -1,4 +1,7 @@
-"""The corpus pipeline: stages that each take the documents their predecessor kept."""
+"""The corpus pipeline: stages that each take the documents their predecessor kept.
+
+All stages treat null texts as empty, take repeated and null ids as rows of their own, give an empty
+result for an empty table, and (but for the last) keep all columns, whatever their names."""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Workspace, keyed
+from tracewright.llm.common import Workspace, free_name, keyed
 from tracewright.llm.decontamination import drop_contaminated
 from tracewright.llm.near_copies import near_groups
 from tracewright.llm.packing import pack
@@ -15,17 +18,19 @@ from tracewright.llm.toxicity import drop_toxic
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go; null and empty texts stay."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group (SimHash at radius 4, or a 5-word-shingle Jaccard similarity of 0.8
-    or more) the document with the smallest id stays (of repeated or null ids, one row)."""
-    own = keyed(docs, Workspace(spark, "simhash-stage"), "doc_id", "text")
-    groups = near_groups(own, id_col="__key")
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
-    return own.join(first, "__key", "left_semi").select(*docs.columns)
+    or more) the document with the smallest id stays (of repeated or null ids, one row; texts without
+    words are one group)."""
+    (key,) = free_name(docs, "__key")
+    own = keyed(docs, Workspace(spark, "simhash-stage"), "doc_id", "text", key)
+    groups = near_groups(own.select(key, "text"), id_col=key)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return own.join(first, key, "left_semi").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts hold none, null and repeated items are one."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

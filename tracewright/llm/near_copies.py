@@ -83,14 +83,79 @@ def verified(pairs: DataFrame, texts: DataFrame, work: Workspace, name: str, siz
     return work.save(both.mapInArrow(run, "a long, b long"), name)
 
 
+def cell_links(ids: np.ndarray, first: np.ndarray, sets: list[np.ndarray], threshold: float, block: int = 2048) -> list[tuple[int, int]]:
+    """Pairs of ids whose sets reach ``threshold``, enough of them to connect all groups (``first``) that
+    such pairs connect. All intersections of a cell are products of membership matrices, a block of
+    shingles at a time; shingles of one member only are left out."""
+    size = np.array([len(s) for s in sets])
+    label = np.unique(first, return_inverse=True)[1]
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    place = np.cumsum(count > 1) - 1
+    row, column = row[count[column] > 1], place[column[count[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, block):
+        i, j = np.searchsorted(column, (at, at + block))
+        member = np.zeros((len(sets), block), np.float32)
+        member[row[i:j], column[i:j] - at] = 1
+        shared += member @ member.T
+    both = size[:, None] + size[None, :] - shared
+    x, y = np.nonzero(np.triu((shared >= threshold * both) & (label[:, None] != label[None, :]), 1))
+    low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+    one = np.unique(low * (label.max() + 1) + high, return_index=True)[1]
+    root, out = np.arange(label.max() + 1), []
+    for k in one.tolist():
+        a, b = root[low[k]], root[high[k]]
+        if a != b:
+            root[root == b] = a
+            out.append((int(ids[x[k]]), int(ids[y[k]])))
+    return out
+
+
+def pool_links(members: DataFrame, texts: DataFrame, work: Workspace, size: int, threshold: float, cell: int = 512) -> DataFrame:
+    """Links (a, b) within pools: members (pool, doc_id, first) of each are dealt into chunks of about
+    ``cell``, and each pair of chunks is one cell, so no task holds more than two chunks, no pair is
+    left out, and only links leave a task."""
+    count = work.save(members.groupBy("pool").agg(F.count("*").alias("m"), F.countDistinct("first").alias("groups")), "pool-sizes")
+    chunks = F.ceil(F.col("m") / cell)
+    own = F.pmod(F.xxhash64("doc_id"), chunks)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.least(own, j) * F.lit(1 << 31) + F.greatest(own, j))
+    dealt = members.join(count.where("groups > 1"), "pool").select("pool", "doc_id", "first", F.explode(pair).alias("cell"))
+    rows = dealt.join(texts, "doc_id").select("pool", "cell", "doc_id", "first", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            ids, first, sets = zip(*held)
+            a, b = np.array(cell_links(np.array(ids), np.array(first), list(sets), threshold), np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for part in (p for b in batches for p in slices(b, "text")):
+            for pool, at, i, first, text in zip(*(part.column(k).to_pylist() for k in range(5))):
+                if (pool, at) != now and held:
+                    yield out()
+                    held.clear()
+                now = (pool, at)
+                held.append((i, first, np.unique(shingle_hashes(text or b"", size))))
+        if held:
+            yield out()
+
+    dealt = rows.repartition("pool", "cell").sortWithinPartitions("pool", "cell", "doc_id")
+    return work.save(dealt.mapInArrow(run, "a long, b long"), "pool-links")
+
+
 def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row, for unique ids: SimHash groups, joined further by every
     pair that shares a bucket and whose shingles of ``size`` words have a Jaccard similarity of
     ``threshold`` or more, computed on the whole texts. component_id is the smallest id of a group.
 
     Texts with equal sets of shingles are one class, and only one of each is compared. In every
-    bucket all are first compared with the smallest id; only where that leaves more than one group
-    are all pairs across its groups compared, so large groups of near copies stay linear."""
+    bucket all are first compared with the smallest id; where that leaves more than one group, the
+    documents that such buckets connect are one pool, and all pairs of a pool are compared in cells
+    inside the tasks, once for all buckets. No pairs but links leave a task."""
     work = Workspace(docs.sparkSession, "near-copies")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", F.col("component_id").alias("first"))
@@ -119,21 +184,18 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
     pair = pair.where(F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n"))
     tried = work.save(pair.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs-1")
 
-    def joined(pairs: DataFrame, name: str) -> DataFrame:
-        """The edges, with those between the groups of the pairs that hold."""
-        found = verified(pairs, texts, work, name, size, threshold)
+    def joined(found: DataFrame, name: str) -> DataFrame:
+        """The edges, with those between the groups of the pairs found."""
         one, two = (groups.select(F.col("doc_id").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
         found = found.join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
         return work.save(edges.unionByName(found), f"{name}-edges")
 
-    edges = joined(tried, "near-1")
+    edges = joined(verified(tried, texts, work, "near-1", size, threshold), "near-1")
     rows = work.save(grouped(rows, "components-2"), "members-2")
     work.drop("members")
-    rest = rows.groupBy("bucket").agg(open_.alias("open"), F.count("*").alias("count")).where("open AND count > 2")
-    left = rows.join(rest.select("bucket"), "bucket", "left_semi")
-    a, b = left.alias("x"), left.alias("y")
-    cross = a.join(b, "bucket").where("x.doc_id < y.doc_id AND x.first <> y.first")
-    cross = cross.where(F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    edges = joined(work.save(cross.join(tried, ["a", "b"], "left_anti"), "pairs-2"), "near-2")
+    rest = rows.groupBy("bucket").agg(open_.alias("open"), F.min("doc_id").alias("hub"), F.count("*").alias("count")).where("open AND count > 2")
+    left = work.save(rows.join(rest.select("bucket", "hub"), "bucket").select("hub", "doc_id", "first").distinct(), "left")
+    pools = components(left.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), work, "pools")
+    members = left.select("doc_id", "first").distinct().join(pools.select(F.col("node").alias("doc_id"), F.col("root").alias("pool")), "doc_id")
+    edges = joined(pool_links(members, texts, work, size, threshold), "near-2")
     return grouped(groups, "components-3").select("doc_id", F.col("first").alias("component_id"))

@@ -100,6 +100,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_join(big: DataFrame, small: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """big (n rows) joined with small (one row a key). The rows of a key that has over a thousandth of
+    big are dealt out; there are at most a thousand such keys, which are broadcast. ``key`` may not be null."""
+    hot = big.groupBy(key).count().where(F.col("count") > max(n // 1000, 256)).select(key, F.lit(32).alias("__parts"))
+    hot, parts = F.broadcast(hot), F.coalesce("__parts", F.lit(1))
+    one = big.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*big.columns), parts).cast("int"))
+    two = small.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return one.drop("__parts").join(two.drop("__parts"), [key, "__part"], how).drop("__part")
+
+
 def unique_ids(docs: DataFrame, id_col: str) -> bool:
     """True if no id is null or repeated; reads the id column only."""
     n, ids = docs.agg(F.count("*"), F.countDistinct(F.col(id_col))).first()

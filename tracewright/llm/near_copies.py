@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices
+from .common import Workspace, dealt_join, slices
 from .components import components
 from .simhash import shingle_hashes, simhash_groups
 
@@ -173,9 +173,9 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
     def grouped(rows: DataFrame, name: str) -> DataFrame:
         """rows with ``first`` as the edges found so far have it."""
         roots = components(edges, work, name).select(F.col("node").alias("first"), "root")
-        return rows.join(roots, "first", "left").withColumn("first", F.coalesce("root", "first")).drop("root")
+        return dealt_join(rows, roots, "first", rows.count(), "left").withColumn("first", F.coalesce("root", "first")).drop("root")
 
-    now = grouped(own.join(least.select("doc_id"), "doc_id", "left_semi").select("doc_id", "first", "n", "buckets"), "components-1")
+    now = own.join(least.select("doc_id"), "doc_id", "left_semi")
     rows = work.save(now.select("doc_id", "first", "n", F.explode("buckets").alias("bucket")), "members")
     open_ = F.min("first") < F.max("first")
 
@@ -191,11 +191,11 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
         return work.save(edges.unionByName(found), f"{name}-edges")
 
     edges = joined(verified(tried, texts, work, "near-1", size, threshold), "near-1")
-    rows = work.save(grouped(rows, "components-2"), "members-2")
+    rows = work.save(grouped(rows, "components-1"), "members-2")
     work.drop("members")
     rest = rows.groupBy("bucket").agg(open_.alias("open"), F.min("doc_id").alias("hub"), F.count("*").alias("count")).where("open AND count > 2")
     left = work.save(rows.join(rest.select("bucket", "hub"), "bucket").select("hub", "doc_id", "first").distinct(), "left")
     pools = components(left.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), work, "pools")
     members = left.select("doc_id", "first").distinct().join(pools.select(F.col("node").alias("doc_id"), F.col("root").alias("pool")), "doc_id")
     edges = joined(pool_links(members, texts, work, size, threshold), "near-2")
-    return grouped(groups, "components-3").select("doc_id", F.col("first").alias("component_id"))
+    return grouped(groups, "components-2").select("doc_id", F.col("first").alias("component_id"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices
+from .common import Workspace, dealt_join, slices
 from .components import components
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -206,7 +206,9 @@ def simhash_groups(
     classes = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     edges = work.save(links(classes.select("fp"), work, radius), "links")
     roots = components(edges, work).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = work.save(named.join(groups, "root").select("fp", "component_id"), "class-groups")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = work.save(classes.join(roots, "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = dealt_join(linked, least, "root", linked.count()).select("fp", "component_id")
+    alone = classes.join(linked, "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"))
+    named = work.save(named.unionByName(alone), "class-groups")
+    return dealt_join(fps, named, "fp", fps.count()).select("doc_id", "fp", "component_id")

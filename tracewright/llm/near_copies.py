@@ -179,8 +179,10 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
     rows = work.save(now.select("doc_id", "first", "n", F.explode("buckets").alias("bucket")), "members")
     open_ = F.min("first") < F.max("first")
 
-    hubs = rows.groupBy("bucket").agg(open_.alias("open"), F.min(F.struct("doc_id", "first", "n")).alias("hub")).where("open")
-    pair = rows.join(hubs, "bucket").where(F.col("first") != F.col("hub.first"))
+    hubs = rows.groupBy("bucket").agg(open_.alias("open"), F.min(F.struct("doc_id", "first", "n")).alias("hub")).where("open").drop("open")
+    rows = work.save(rows.join(hubs, "bucket"), "open-members")  # groups only merge, so no other bucket opens later
+    work.drop("sketches", "classes", "members")
+    pair = rows.where(F.col("first") != F.col("hub.first"))
     pair = pair.where(F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n"))
     tried = work.save(pair.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs-1")
 
@@ -191,8 +193,8 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
         return work.save(edges.unionByName(found), f"{name}-edges")
 
     edges = joined(verified(tried, texts, work, "near-1", size, threshold), "near-1")
-    rows = work.save(grouped(rows, "components-1"), "members-2")
-    work.drop("members")
+    rows = work.save(grouped(rows.drop("hub"), "components-1"), "members-2")
+    work.drop("open-members", "pairs-1")
     rest = rows.groupBy("bucket").agg(open_.alias("open"), F.min("doc_id").alias("hub"), F.count("*").alias("count")).where("open AND count > 2")
     left = work.save(rows.join(rest.select("bucket", "hub"), "bucket").select("hub", "doc_id", "first").distinct(), "left")
     pools = components(left.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), work, "pools")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from .chat import conversation_digests
 from .common import Workspace, table
 from .decontamination import contained_items
+from .divergence import source_divergence
 from .packing import pack
+from .pieces import decode_pieces, encode_pieces
 from .repetition import repetition_rules
 from .simhash import simhash_groups
 from .substring import drop_repeated_words
@@ -19,6 +22,7 @@ from .suffix_dedup import drop_repeated_bytes
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity
+from .vector_codes import compress_vectors, with_label_error
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +75,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    rows = with_label_error(codes)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -83,6 +107,9 @@ def queries() -> dict[str, Query]:
         "op8_repetition_rules": op8_repetition_rules,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_sentencepiece": op13_sentencepiece,
     }
 
 
@@ -151,9 +178,85 @@ GROUP BY d.id, i.id, n.n HAVING count(*) >= ceil(n.n * 0.8)
 """
 
 
+def _op11_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds over all distances, one pair of steps a round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (
+  SELECT x.id, x.part, arg_min(c.entry, (list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.entry)) AS entry
+  FROM x JOIN c{k} c USING (part) GROUP BY x.id, x.part
+)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS v FROM (
+      SELECT part, entry, place, sum(y)::BIGINT AS s, count(*)::BIGINT AS n FROM (
+        SELECT x.part, d.entry, unnest(x.v) AS y, unnest(range(0, len(x.v))) AS place FROM x JOIN d{k} d USING (id, part)
+      ) GROUP BY part, entry, place
+    ) GROUP BY part, entry
+  ) m USING (part, entry)
+)""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), x AS MATERIALIZED (
+  SELECT id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM k, range(4) p(part)
+), c0 AS MATERIALIZED (
+  SELECT part, id - 1 AS entry, v FROM x WHERE id <= 256
+), {",".join(s.strip() for s in steps)}, e AS (
+  SELECT d.id, string_agg(printf('%02x', d.entry), '' ORDER BY d.part) AS code,
+         sum(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))::BIGINT AS error
+  FROM d{rounds} d JOIN x USING (id, part) JOIN c{rounds} c ON c.part = d.part AND c.entry = d.entry GROUP BY d.id
+)
+SELECT k.vec_id, e.code, e.error, (sum(e.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN e USING (id)
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), t AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), l AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM t GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY w.lang, w.source, w.term
+), s AS (
+  SELECT g.lang, g.source, coalesce(sum(n.n), 0)::HUGEINT AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY g.lang, g.source
+), p AS MATERIALIZED (
+  SELECT s.lang, s.source, t.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (s.total + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (t.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM s JOIN t ON t.lang = s.lang JOIN l ON l.lang = s.lang LEFT JOIN n ON n.lang = s.lang AND n.source = s.source AND n.term = t.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4_SQL,
         "op7_chat_format": OP7_SQL,
         "op9_decontamination": OP9_SQL,
+        "op11_vector_codes": _op11_sql(),
+        "op12_source_divergence": OP12_SQL,
     }

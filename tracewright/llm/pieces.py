@@ -171,7 +171,9 @@ class PieceModel:
             sym[pos] = to
             at = pos - (np.cumsum(gone)[pos])
             sym, word, rank = sym[~gone], word[~gone], rank[~gone]
-            at = np.unique(np.r_[at, at[at > 0] - 1])
+            changed = np.zeros(len(sym), bool)
+            changed[at] = changed[np.maximum(at - 1, 0)] = True
+            at = np.flatnonzero(changed)
             after = np.minimum(at + 1, len(sym) - 1)
             rank[at] = self._ranks(sym[at], sym[after], (word[at] == word[after]) & (after > at))
         if not ready:
@@ -245,22 +247,34 @@ class PieceModel:
             begin, size = begin + ends[-1], self.stretch
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as the library gives them, as little-endian 32-bit integers."""
-        out = []
-        for text in texts:
-            parts = []
+        """The ids of each text as the library gives them, as little-endian 32-bit integers. New words
+        are merged together, those of many texts at once."""
+        parts: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[list[bytes], list[str]]] = []
+        size = 0
+        for own, text in zip(parts, texts):
             for words in self._words(text):
-                new = list(set(words).difference(self.kept))
-                if new:
-                    self.kept.update(zip(new, self._ids(new)))
-                parts.append(b"".join(map(self.kept.__getitem__, words)))
-                for w in new:
-                    if len(w) > 64:
-                        del self.kept[w]
-                if len(self.kept) > self.words:
-                    self.kept.clear()
-            out.append(b"".join(parts))
-        return out
+                waiting.append((own, words))
+                size += len(words)
+                if size >= self.stretch:
+                    self._put(waiting)
+                    size = 0
+        self._put(waiting)
+        return [own[0] if len(own) == 1 else b"".join(own) for own in parts]
+
+    def _put(self, waiting: list[tuple[list[bytes], list[str]]]) -> None:
+        kept = self.kept
+        new = list(set().union(*(words for _, words in waiting)).difference(kept))
+        if new:
+            kept.update(zip(new, self._ids(new)))
+        for own, words in waiting:
+            own.append(b"".join(map(kept.__getitem__, words)))
+        waiting.clear()
+        for w in new:
+            if len(w) > 64:
+                del kept[w]
+        if len(kept) > self.words:
+            kept.clear()
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         """The texts of rows of ids, as the library decodes them."""

@@ -94,7 +94,7 @@ def source_divergence(
     least_docs: int = 30,
     top: int = 50,
     block: int | None = None,
-    chunk: int = 1 << 14,
+    chunk: int = 1 << 11,
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",

@@ -173,7 +173,7 @@ def test_merge_has_only_active_types(spark):
     log = dict_ocel_log(spark, [(FLOW, 30)])
     messages, models = objects.oc_miner(log, 10, 0.01)
     commands = objects.relative_frequency(messages, 0.25)
-    graph = objects.merged_ocdfg(messages, models, commands)
+    graph = objects.spelled_out(objects.merged_ocdfg(messages, models, commands))
     active = {}
     for m, t, c in sorted(tuple(r) for r in commands.select("msg", "object_type", "command").collect()):
         active.setdefault(m, []).append((t, c))

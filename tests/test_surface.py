@@ -130,7 +130,7 @@ def test_miners_of_ones_own(spark):
         objects.dfg_messages(indexed, control_flow={"P": miner(2)})
     # A strategy of one's own: all types switched on by the first message.
     commands = objects.create_command(messages.where("msg = 1"), "P", "ACTIVE")
-    merged = objects.merged_ocdfg(messages, models, commands)
+    merged = objects.spelled_out(objects.merged_ocdfg(messages, models, commands))
     assert {r.object_type for r in merged.collect()} == {"P"}
     told = objects.oc_stream(own, messages, lambda m: objects.create_command(m.where("msg = 1"), "P", "ACTIVE"), 5).orderBy("pos").collect()
     kinds = [r.type for r in told]

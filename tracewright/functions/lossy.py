@@ -4,21 +4,15 @@ With buckets of w events, a key's entry is dropped when its count since insertio
 falls to the bucket number. Let C(b) be how often the key occurred before bucket b and g(b) = C(b) - b,
 over the buckets it occurs in. An entry inserted in bucket a has died before its next occurrence in
 bucket b exactly if g(b) <= g(a) (g(b) < g(a) where the error term is a instead of a - 1). So lives
-begin at the running minima of g, which is one window function, and any number of keys and occurrences
-is counted in one shuffle.
+begin at the running minima of g, and any number of keys and occurrences is counted in closed form.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def new_life(bucket: Column, before: Column, w: Window, strict: bool = False) -> tuple[Column, Column]:
-    """(first row of a bucket, its g) for use in ``starts``; ``before`` counts earlier occurrences."""
-    previous = F.lag(bucket).over(w)
-    first = previous.isNull() | (previous != bucket)
-    return first, F.when(first, before - bucket)
+from .running import running
 
 
 def lossy_states(occurrences: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -27,21 +21,19 @@ def lossy_states(occurrences: DataFrame, keys: list[str], strict: bool = False)
 
     ``occurrences`` has the keys, n, b (bucket) and slot (any non-decreasing function of n whose last
     occurrence is wanted, such as the next tick). The entry is there until event
-    width * greatest(b, reach) of the counted sequence; ``born`` is the n that began its life."""
+    width * greatest(b, reach) of the counted sequence; ``born`` is the n that began its life. Counts are
+    combined by key, bucket and slot, and run over ranges of n, so that a key of any share is split."""
     rows = occurrences.groupBy(*keys, "b", "slot").agg(F.count("*").alias("cnt"), F.min("n").alias("first_n"))
-    w = Window.partitionBy(*keys).orderBy("b", "slot")
-    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("before", F.coalesce(F.sum("cnt").over(past), F.lit(0)))
-    first, g = new_life(F.col("b"), F.col("before"), w)
-    rows = rows.withColumn("first", first).withColumn("g", g)
-    least = F.min("g").over(past)
-    lower = F.col("g") < least if strict else F.col("g") <= least
-    rows = rows.withColumn("new", F.col("first") & (least.isNull() | lower))
-    held = lambda c: F.last(F.when(F.col("new"), F.col(c)), ignorenulls=True).over(upto)
-    rows = rows.withColumn("freq", F.col("before") + F.col("cnt") - held("before"))
-    error = held("b") if strict else held("b") - 1
-    rows = rows.withColumn("reach", F.col("freq") + error).withColumn("born", held("first_n"))
-    rows = rows.withColumn("next_slot", F.lead("slot").over(w))
+    rows = running(rows, keys, "first_n", before=("before", "cnt"), previous=("lag", "b"), next_slot=("lead", "slot"))
+    first = F.col("previous").isNull() | (F.col("previous") != F.col("b"))
+    # A life begins where g is as low as never before (strictly lower, if strict): its row has the least (g, place).
+    g = F.col("before") - F.col("b")
+    place = F.col("first_n") if strict else -F.col("first_n")
+    rows = running(rows, keys, "first_n", life=("min", F.when(first, F.struct(g.alias("g"), place.alias("place"), "before", "b", "first_n"))))
+    rows = rows.withColumn("new", F.col("life.first_n") == F.col("first_n"))
+    rows = rows.withColumn("freq", F.col("before") + F.col("cnt") - F.col("life.before"))
+    error = F.col("life.b") if strict else F.col("life.b") - 1
+    rows = rows.withColumn("reach", F.col("freq") + error).withColumn("born", F.col("life.first_n"))
     return rows.select(*keys, "b", "slot", "first_n", "freq", "reach", "born", "next_slot", "new")
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lossy import at_ticks, lossy_states
+from ..functions.running import running
 from ..order import last_index
+from ..workspace import written
+from .behaviour import model_of
 
 
 def directly_follows(df: DataFrame, order: str = "n") -> DataFrame:
@@ -55,13 +58,12 @@ def simple_dfg_ticks(df: DataFrame, model_update_frequency: int = 10, min_relati
     """(n, src, dst, freq, rel_freq) after every ``model_update_frequency`` events (2 at least): the
     relations whose share of the most frequent one is above the minimum.
 
-    Counts are combined by relation and tick before they are accumulated; a relation then stands for
+    Counts are combined by relation and tick, and run over ranges of ticks; a relation then stands for
     the ticks up to its next change."""
     f = max(model_update_frequency, 2)
     slots = directly_follows(df).select("src", "dst", F.ceil(F.col("n") / f).alias("slot"))
-    w = Window.partitionBy("src", "dst").orderBy("slot")
     rows = slots.groupBy("src", "dst", "slot").agg(F.count("*").alias("cnt"))
-    rows = rows.withColumn("freq", F.sum("cnt").over(w)).withColumn("next_slot", F.lead("slot").over(w))
+    rows = running(rows, ["src", "dst"], "slot", freq=("sum", "cnt"), next_slot=("lead", "slot"))
     rows = at_ticks(rows, last_index(df) // f).withColumn("n", F.col("tick") * f)
     rows = rows.withColumn("rel_freq", F.col("freq") / F.max("freq").over(Window.partitionBy("n")))
     return rows.where(F.col("rel_freq") > min_relative_frequency).select("n", "src", "dst", "freq", "rel_freq")
@@ -181,12 +183,9 @@ def heuristics_budget_ticks(df: DataFrame, model_update_frequency: int = 10, bud
     return rows.mapInPandas(run, "n long, src string, dst string, freq long")
 
 
-def temporal_profile(df: DataFrame, activities: list[str] | None = None) -> DataFrame:
-    """(a, b, cnt, mean_s, std_s): how long after a an eventually following b comes, over all pairs of
-    events of a case.
-
-    Pairs are never made: running counts, sums and sums of squares of earlier times, one for each
-    activity, give each event's share. Times are seconds since the case's first event."""
+def _moments(df: DataFrame, activities: list[str] | None) -> DataFrame:
+    """(n, a, b, cnt, d, dd): what each event b adds to the count, sum and sum of squares of its distances to
+    all earlier events a of its case."""
     if activities is None:
         activities = sorted(r[0] for r in df.select("activity").distinct().collect())  # one row an activity
     w = Window.partitionBy("case_id").orderBy("ts", "n")
@@ -203,73 +202,51 @@ def temporal_profile(df: DataFrame, activities: list[str] | None = None) -> Data
         )
         for a in activities
     ]
-    rows = rows.withColumn("past", F.array(*sums)).select("b", "t", F.explode("past").alias("p")).where("p.c > 0")
+    rows = rows.withColumn("past", F.array(*sums)).select("n", "b", "t", F.explode("past").alias("p")).where("p.c > 0")
     c, s, q, t = F.col("p.c"), F.col("p.s"), F.col("p.q"), F.col("t")
-    both = rows.groupBy(F.col("p.a").alias("a"), "b").agg(
-        F.sum(c).alias("cnt"), F.sum(c * t - s).alias("d"), F.sum(c * t * t - 2 * t * s + q).alias("dd")
-    )
+    return rows.select("n", F.col("p.a").alias("a"), "b", c.alias("cnt"), (c * t - s).alias("d"), (c * t * t - 2 * t * s + q).alias("dd"))
+
+
+def _profile(both: DataFrame, *keys: str) -> DataFrame:
     spread = F.greatest(F.lit(0.0), F.col("dd") - F.col("d") * F.col("d") / F.col("cnt"))
     std = F.when(F.col("cnt") > 1, F.sqrt(spread / (F.col("cnt") - 1))).otherwise(0.0)
-    return both.select("a", "b", "cnt", (F.col("d") / F.col("cnt")).alias("mean_s"), std.alias("std_s"))
-
-
-DEEPEST = 6
-
-
-def model_of_relations(relations: list[tuple[str, str]], starts: set[str], ends: set[str]) -> list[tuple]:
-    """(src, dst, p_min, p_max, f) of a behavioural model: how deep a relation lies behind a start
-    activity at least and at most (paths may use a relation again once, and stop at depth 6), and how
-    far it is from an end activity at least; None where none leads there."""
-    after = {r: [x for x in relations if x[0] == r[1]] for r in relations}
-    before = {r: [x for x in relations if x[1] == r[0]] for r in relations}
-
-    def distances(sources: list, step: dict) -> dict:
-        found, now, depth = {}, list(dict.fromkeys(sources)), 0
-        while now:
-            found |= dict.fromkeys(now, depth)
-            now = list(dict.fromkeys(x for r in now for x in step[r] if x not in found))
-            depth += 1
-        return found
-
-    first = [r for r in relations if r[0] in starts]
-    p_min = distances(first, after)
-    f = distances([r for r in relations if r[1] in ends], before)
-    p_max: dict = {}
-    for source in first:
-        for r, depth in distances([source], after).items():
-            p_max[r] = max(depth, p_max.get(r, -1))
-    todo = [(r, 0, frozenset(), frozenset()) for r in dict.fromkeys(first)]
-    while todo and any(p_max[r] < DEEPEST for r in p_max):
-        r, depth, seen, again = todo.pop()
-        if r in again:
-            continue
-        p_max[r] = max(depth, p_max[r])
-        if depth < DEEPEST:
-            if r in seen:
-                todo += [(x, depth, seen, again | {r}) for x in after[r]]
-            else:
-                todo += [(x, depth + 1, seen | {r}, again) for x in after[r]]
-    return [(*r, p_min.get(r), p_max.get(r), f.get(r)) for r in relations]
+    return both.select(*keys, "a", "b", "cnt", (F.col("d") / F.col("cnt")).alias("mean_s"), std.alias("std_s"))
+
+
+def temporal_profile(df: DataFrame, activities: list[str] | None = None) -> DataFrame:
+    """(a, b, cnt, mean_s, std_s): how long after a an eventually following b comes, over all pairs of
+    events of a case.
+
+    Pairs are never made: running counts, sums and sums of squares of earlier times, one for each
+    activity, give each event's share. Times are seconds since the case's first event."""
+    both = _moments(df, activities).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("cnt", "d", "dd")))
+    return _profile(both)
+
+
+def temporal_profile_ticks(df: DataFrame, every: int = 1, activities: list[str] | None = None) -> DataFrame:
+    """(n, a, b, cnt, mean_s, std_s): the profile of the events so far after every ``every`` events.
+
+    Moments are combined by pair and tick and run over ranges of ticks; nothing is mined twice. Events of a
+    case must be numbered in the order of their times."""
+    rows = _moments(df, activities).withColumn("slot", F.ceil(F.col("n") / every))
+    rows = rows.groupBy("a", "b", "slot").agg(*(F.sum(c).alias(c) for c in ("cnt", "d", "dd")))
+    rows = running(rows, ["a", "b"], "slot", cnt=("sum", "cnt"), d=("sum", "d"), dd=("sum", "dd"), next_slot=("lead", "slot"))
+    rows = at_ticks(rows, last_index(df) // every).withColumn("n", F.col("tick") * every)
+    return _profile(rows, "n")
 
 
 def behavioral_model(df: DataFrame) -> DataFrame:
-    """(src, dst, p_min, p_max, f) of the log's relations; the graph of activities is walked on the
-    driver, which gets one row for each relation and activity."""
-    spark = df.sparkSession
-    rows = directly_follows(df).groupBy("src", "dst").agg(F.min("n").alias("n")).orderBy("n").collect()
-    ends = df.groupBy("case_id").agg(F.min_by("activity", "n").alias("first"), F.max_by("activity", "n").alias("last"))
-    sides = ends.select(F.explode(F.array(F.struct(F.lit("s").alias("k"), F.col("first").alias("a")), F.struct(F.lit("e").alias("k"), F.col("last").alias("a")))).alias("x"))
-    marks = sides.select("x.k", "x.a").distinct().collect()
-    side = lambda k: {r.a for r in marks if r.k == k}
-    model = model_of_relations([(r.src, r.dst) for r in rows], side("s"), side("e"))
-    return spark.createDataFrame(model, "src string, dst string, p_min int, p_max int, f int")
+    """(src, dst, p_min, p_max, f) of the log's relations, see ``behaviour.model_of``."""
+    relations = directly_follows(df).select("src", "dst").distinct()
+    sides = written(df.groupBy("case_id").agg(F.min_by("activity", "n").alias("first"), F.max_by("activity", "n").alias("last")).select("first", "last").distinct(), "sides")
+    return model_of(relations, sides.select(F.col("first").alias("activity")), sides.select(F.col("last").alias("activity")))
 
 
 def petri_net_model(spark, places: list[tuple[list[str | None], list[str | None], bool, bool]]) -> DataFrame:
     """A behavioural model from the places of a Petri net: (labels of the transitions before, labels of
     those after, marked at first, marked at last). Unlabelled transitions are passed over."""
-    relations = [(a, b) for into, out, _, _ in places for a in into for b in out if a is not None and b is not None]
-    starts = {b for _, out, initial, _ in places if initial for b in out if b is not None}
-    ends = {a for into, _, _, final in places if final for a in into if a is not None}
-    model = model_of_relations(list(dict.fromkeys(relations)), starts, ends)
-    return spark.createDataFrame(model, "src string, dst string, p_min int, p_max int, f int")
+    net = spark.createDataFrame(list(places), "into array<string>, out array<string>, initial boolean, final boolean")
+    pairs = net.select(F.explode("into").alias("src"), "out").select("src", F.explode("out").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    starts = net.where("initial").select(F.explode("out").alias("activity")).where("activity IS NOT NULL")
+    ends = net.where("final").select(F.explode("into").alias("activity")).where("activity IS NOT NULL")
+    return model_of(pairs, starts, ends)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cardinality import infer_cardinality
 from ..functions.lossy import at_ticks, lossy_states
+from ..functions.running import as_of, running
+from ..functions.spans import merged_spans, overlaps
 from ..order import last_index, with_index
 from ..workspace import written
 from .discovery import heuristics_lossy_ticks, start_end_activities
@@ -46,8 +48,9 @@ def per_type_index(flat: DataFrame) -> DataFrame:
     return rows.join(first, "object_type").withColumn("n", F.col("__i") - F.col("__first") + 1).drop("__i", "__first")
 
 
-def type_pairs(df: DataFrame, control_flow: list[str] | None = None) -> DataFrame:
-    """(n, activity, type_a, type_b, cardinality) of every pair of object types of every event."""
+def type_pairs(df: DataFrame, control_flow: list[str] | None = None, spread: bool = True) -> DataFrame:
+    """(n, activity, type_a, type_b, cardinality) of every pair of object types of every event, or, not
+    ``spread``, (n, activity, pairs): a row for each event."""
     sizes = F.transform(F.map_entries("omap"), lambda e: F.struct(e["key"].alias("t"), F.size(e["value"]).alias("c")))
     if control_flow:
         sizes = F.filter(sizes, lambda e: e["t"].isin(list(control_flow)))
@@ -57,9 +60,13 @@ def type_pairs(df: DataFrame, control_flow: list[str] | None = None) -> DataFram
             sizes, lambda x, i: F.transform(F.slice(sizes, i + 2, F.greatest(F.size(sizes) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))
         )
     )
-    rows = df.select("n", "activity", F.explode(pairs).alias("p"))
-    card = infer_cardinality(F.col("p.x.c"), F.col("p.y.c"))
-    return rows.select("n", "activity", F.col("p.x.t").alias("type_a"), F.col("p.y.t").alias("type_b"), card.alias("cardinality"))
+    told = F.transform(
+        pairs,
+        lambda p: F.struct(p["x"]["t"].alias("type_a"), p["y"]["t"].alias("type_b"), infer_cardinality(p["x"]["c"], p["y"]["c"]).alias("cardinality")),
+    )
+    if not spread:
+        return df.select("n", "activity", told.alias("pairs"))
+    return df.select("n", "activity", F.inline(told))
 
 
 def cardinalities(pairs: DataFrame) -> DataFrame:
@@ -88,8 +95,7 @@ def aer_lossy_ticks(
     rows = rows.withColumn("b", F.ceil(F.col("d") / width)).withColumn("slot", F.ceil((F.col("n") + 1) / f))
     states = at_ticks(lossy_states(rows, ["activity", "type_a", "type_b", "cardinality"], strict=True), last)
     seen = own.groupBy("activity", F.ceil((F.col("n") + 1) / f).alias("slot")).agg(F.max("d").alias("d"))
-    w = Window.partitionBy("activity").orderBy("slot")
-    seen = at_ticks(seen.withColumn("next_slot", F.lead("slot").over(w)), last).select("activity", "tick", "d")
+    seen = at_ticks(running(seen, ["activity"], "slot", next_slot=("lead", "slot")), last).select("activity", "tick", "d")
     alive = states.join(seen, ["activity", "tick"]).where(F.col("d") < F.lit(width) * F.greatest("b", "reach"))
     best = F.max(F.struct("freq", (-F.col("born")).alias("n"), "cardinality"))
     rows = alive.groupBy("tick", "activity", "type_a", "type_b").agg(best.alias("m"))
@@ -105,23 +111,42 @@ def create_command(messages: DataFrame, object_type: str | Column, command: str)
 
 
 def get_mode(control_flow: dict[str, Callable] | list[str] | None = None) -> str:
-    """``static`` where the types with miners are given, ``dynamic`` where they come with the events."""
+    """``static`` where the types with miners are given, ``dynamic`` where none is and they come with the events."""
     if control_flow is not None and not isinstance(control_flow, (dict, list)):
         raise TypeError("control_flow is a dict of miners or a list of types")
     if isinstance(control_flow, dict) and not all(map(callable, control_flow.values())):
         raise ValueError("miners must be callable")
-    return "dynamic" if control_flow is None else "static"
+    return "static" if control_flow else "dynamic"
 
 
-def mined_types(indexed: DataFrame, control_flow: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+def mined_types(
+    indexed: DataFrame,
+    control_flow: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    default_miner: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(messages, models) of miners of one's own: each gets the flattened events of its type, numbered
-    from 1 in ``n``, and returns models (n, src, dst, freq) by the event they follow."""
+    from 1 in ``n``, and returns models (n, src, dst, freq) by the event they follow.
+
+    With ``control_flow`` only the types it names are mined. Without it (or with an empty one) the types are
+    those met in the events, and ``default_miner`` mines each; where that is not given either, lossy
+    heuristics with 20 events to a model."""
     get_mode(control_flow)
-    parts = []
-    for name, miner in control_flow.items():
-        own = miner(indexed.where(F.col("object_type") == name).drop("object_type"))
-        parts.append(own.select(F.lit(name).alias("object_type"), "n", "src", "dst", "freq"))
-    models = written(reduce(DataFrame.unionByName, parts), "models")
+    if control_flow:
+        miners = dict(control_flow)
+    elif default_miner is None:
+        miners = None
+    else:
+        miners = {r[0]: default_miner for r in indexed.select("object_type").distinct().orderBy("object_type").collect()}  # one row a type
+    if miners is None:
+        found = heuristics_lossy_ticks(indexed, 20, group=["object_type"])
+    else:
+        none = indexed.where("false").select("object_type", "n", F.lit("").alias("src"), F.lit("").alias("dst"), F.lit(0).cast("long").alias("freq"))
+        parts = [none]
+        for name, miner in miners.items():
+            own = miner(indexed.where(F.col("object_type") == name).drop("object_type"))
+            parts.append(own.select(F.lit(name).alias("object_type"), "n", "src", "dst", "freq"))
+        found = reduce(DataFrame.unionByName, parts)
+    models = written(found, "models")
     told = models.select("object_type", "n").distinct().join(indexed.select("object_type", "n", "event_n", "flat_pos"), ["object_type", "n"])
     return with_index(told.select("event_n", "flat_pos", "object_type", F.col("n").alias("type_n")), "event_n", "flat_pos", name="msg"), models
 
@@ -134,7 +159,7 @@ def dfg_messages(indexed: DataFrame, model_update_frequency: int = 20, control_f
     if isinstance(control_flow, dict):
         raise TypeError("a dict of miners goes to mined_types")
     rows = indexed.where((F.col("n") + 1) % model_update_frequency == 0)
-    if control_flow is not None:
+    if control_flow:
         rows = rows.where(F.col("object_type").isin(list(control_flow)))
     rows = rows.select("event_n", "flat_pos", "object_type", F.col("n").alias("type_n"))
     return with_index(rows, "event_n", "flat_pos", name="msg")
@@ -145,9 +170,8 @@ def relative_frequency(messages: DataFrame, threshold: float = 0.05) -> DataFram
     the threshold. A share only falls between a type's messages, so the message it falls below at
     follows from its count."""
     last = last_index(messages, "msg")
-    w = Window.partitionBy("object_type").orderBy("msg")
-    rows = messages.select("msg", "object_type", F.row_number().over(w).alias("c"))
-    rows = rows.withColumn("before", F.lag("msg").over(w)).withColumn("next", F.coalesce(F.lead("msg").over(w), F.lit(last + 1)))
+    rows = messages.select("msg", "object_type")
+    rows = running(rows, ["object_type"], "msg", c=("sum", F.lit(1)), before=("lag", "msg"), next=("lead", "msg")).na.fill(last + 1, ["next"])
     at = F.floor(F.col("c") / threshold).cast("long")
     near = F.sequence(F.greatest(at - 1, F.col("c")), F.greatest(at, F.col("c")) + 2)
     off = F.array_min(F.filter(near, lambda m: F.col("c") / m < threshold))
@@ -161,9 +185,8 @@ def relative_frequency(messages: DataFrame, threshold: float = 0.05) -> DataFram
 def sliding_window_inclusion(messages: DataFrame, window_size: int = 30) -> DataFrame:
     """(msg, object_type, command): a type is active for ``window_size`` messages from each of its own."""
     last = last_index(messages, "msg")
-    w = Window.partitionBy("object_type").orderBy("msg")
-    rows = messages.select("msg", "object_type", F.lag("msg").over(w).alias("before"))
-    rows = rows.withColumn("next", F.coalesce(F.lead("msg").over(w), F.lit(last + 1)))
+    rows = running(messages.select("msg", "object_type"), ["object_type"], "msg", before=("lag", "msg"), next=("lead", "msg"))
+    rows = rows.na.fill(last + 1, ["next"])
     starts = rows.where(f"before IS NULL OR msg - before > {window_size}")
     stops = rows.withColumn("msg", F.col("msg") + window_size).where("msg < next")
     return starts.select("msg", "object_type", F.lit(ACTIVE).alias("command")).unionByName(
@@ -183,31 +206,40 @@ def lossy_inclusion(messages: DataFrame, max_approx_error: float = 0.05) -> Data
     return starts.unionByName(stops.select("msg", "object_type", F.lit(INACTIVE).alias("command")))
 
 
-def _spans(df: DataFrame, key: str, value: Column | None, last: int) -> DataFrame:
-    """Rows of a change table with ``until``, the message before the key's next change."""
-    w = Window.partitionBy(key).orderBy("msg")
-    return df.withColumn("until", F.coalesce(F.lead("msg").over(w) - 1, F.lit(last)))
+def _spans(df: DataFrame, keys: list[str], last: int) -> DataFrame:
+    """Rows of a change table as spans ``from`` to ``to``, the message before the key's next change."""
+    rows = running(df, keys, "msg", next=("lead", "msg")).na.fill(last + 1, ["next"])
+    return rows.withColumn("from", F.col("msg")).withColumn("to", F.col("next") - 1).drop("msg", "next")
 
 
 def active_spans(commands: DataFrame, last: int) -> DataFrame:
-    """(object_type, msg, until): the stretches of messages in which a type is active. Where a type is
+    """(object_type, from, to): the stretches of messages in which a type is active. Where a type is
     switched on and off by one message, off is the later."""
     rows = commands.groupBy("object_type", "msg").agg(F.max(F.when(F.col("command") == INACTIVE, 1).otherwise(0)).alias("off"))
-    return _spans(rows, "object_type", None, last).where("off = 0").drop("off")
+    return _spans(rows, ["object_type"], last).where("off = 0").drop("off")
 
 
 def merged_ocdfg(messages: DataFrame, models: DataFrame, commands: DataFrame) -> DataFrame:
-    """(msg, object_type, src, dst, freq): at every message the newest model of each active type.
+    """(from, to, object_type, src, dst, freq): from each message to another the newest model of each
+    active type.
 
-    A model holds from its message to the type's next, a type while it is active; the overlap of both
-    spans is spelled out message by message."""
+    Models and commands are put in one order for each type and handed on, so every row stands for a
+    stretch without a change; nothing grows with the number of messages between changes. ``spelled_out``
+    gives a row for each message."""
     last = last_index(messages, "msg")
-    held = _spans(messages.select("msg", "object_type", "type_n"), "object_type", None, last)
-    on = active_spans(commands, last).withColumnRenamed("msg", "a").withColumnRenamed("until", "z")
-    rows = held.join(on, "object_type").where("msg <= z AND a <= until")
-    rows = rows.withColumn("from", F.greatest("msg", "a")).withColumn("to", F.least("until", "z"))
-    rows = rows.join(models.select("object_type", F.col("n").alias("type_n"), "src", "dst", "freq"), ["object_type", "type_n"])
-    return rows.select(F.explode(F.sequence("from", "to")).alias("msg"), "object_type", "src", "dst", "freq")
+    off = F.max(F.when(F.col("command") == INACTIVE, 1).otherwise(0))
+    messages = written(messages.select("msg", "object_type", "type_n"), "messages")
+    switched = commands.groupBy("object_type", "msg").agg((off == 0).alias("on"))
+    told = messages.select("object_type", "msg", "type_n")
+    rows = running(told.join(switched, ["object_type", "msg"], "full"), ["object_type"], "msg", type_n=("last", "type_n"), on=("last", "on"))
+    rows = _spans(rows, ["object_type"], last).where("on AND type_n IS NOT NULL")
+    found = rows.join(models.select("object_type", F.col("n").alias("type_n"), "src", "dst", "freq"), ["object_type", "type_n"])
+    return found.select("from", "to", "object_type", "src", "dst", "freq")
+
+
+def spelled_out(spans: DataFrame) -> DataFrame:
+    """A row with ``msg`` for each message of every span; as many rows as messages, so for small results."""
+    return spans.withColumn("msg", F.explode(F.sequence("from", "to"))).drop("from", "to")
 
 
 def oc_miner(df: DataFrame, model_update_frequency: int = 20, max_approx_error: float = 0.001) -> tuple[DataFrame, DataFrame]:
@@ -238,19 +270,26 @@ def oc_stream(
     return rows.select("pos", "type", "event_n", "object_type", "type_n", "command")
 
 
-def merged_aer(messages: DataFrame, edges: DataFrame, aer: DataFrame, commands: DataFrame, aer_model_update_frequency: int = 30) -> DataFrame:
-    """(msg, activity, type_a, type_b, cardinality): at every message the newest AER (n, ...), without
-    activities that are not in the merged graph ``edges`` of that message and without types that are
-    not active there. AER models come every so many events, so the newest one follows from the event."""
-    f, last = aer_model_update_frequency, last_index(messages, "msg")
-    newest = messages.select("msg", (F.floor((F.col("event_n") + 1) / f) * f - 1).alias("n"))
-    rows = newest.join(aer, "n").drop("n")
-    on = active_spans(commands, last)
+def merged_aer(messages: DataFrame, edges: DataFrame, aer: DataFrame, commands: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """(from, to, activity, type_a, type_b, cardinality): from each message to another the newest AER
+    model (n, ...), without activities that are not in the merged graph ``edges`` (spans) there and
+    without types that are not active.
+
+    ``aer`` may come in any rhythm: ``ticks`` (n) tells the events it was told after, the empty models
+    too (without it, those with rows). Each message takes the newest tick before it as-of, the runs of
+    messages with one tick are spans, and spans are joined where they overlap."""
+    last = last_index(messages, "msg")
+    aer, edges = written(aer, "aer"), written(edges.select("from", "to", F.array("src", "dst").alias("ends")).distinct(), "edges")
+    ticks = (aer if ticks is None else ticks).select(F.col("n").alias("event_n"), F.col("n")).distinct()
+    newest = as_of(messages.select("msg", "event_n"), ticks, "event_n", tick="n").where("tick IS NOT NULL")
+    told = newest.groupBy("tick").agg(F.min("msg").alias("from"), F.max("msg").alias("to"))
+    rows = told.join(aer, F.col("tick") == F.col("n")).drop("tick", "n")
+    on = written(active_spans(commands, last), "active")
     for side in ("type_a", "type_b"):
-        spans = on.select(F.col("object_type").alias(side), F.col("msg").alias("__from"), "until")
-        rows = rows.join(spans, side).where("msg BETWEEN __from AND until").drop("__from", "until")
-    nodes = edges.select("msg", F.col("src").alias("activity")).union(edges.select("msg", "dst")).distinct()
-    return rows.join(nodes, ["msg", "activity"], "left_semi").select("msg", "activity", "type_a", "type_b", "cardinality")
+        rows = overlaps(written(rows, "spans"), on.withColumnRenamed("object_type", side), [side], last)
+    nodes = edges.select("from", "to", F.explode("ends").alias("activity")).distinct()
+    rows = overlaps(written(rows, "spans"), written(merged_spans(nodes, ["activity"]), "nodes"), ["activity"], last)
+    return rows.select("from", "to", "activity", "type_a", "type_b", "cardinality")
 
 
 def prune_aer(aer: DataFrame, ocdfg: DataFrame) -> DataFrame:
@@ -268,8 +307,9 @@ def type_ends(ocdfg: DataFrame, object_type: str) -> DataFrame:
 
 
 def merged_ends(ocdfg: DataFrame) -> DataFrame:
-    """(msg, object_type, activity, is_start, is_end) of every merged graph."""
-    return start_end_activities(ocdfg, by=("msg", "object_type"))
+    """(from, to, object_type, activity, is_start, is_end) of every merged graph. A type's spans do not
+    overlap, so each is one graph."""
+    return start_end_activities(ocdfg, by=("from", "to", "object_type"))
 
 
 def edge_similarity(first: DataFrame, second: DataFrame) -> float:

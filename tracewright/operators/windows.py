@@ -72,3 +72,13 @@ def pair_counts(df: DataFrame, size: int, src: str, dst: str) -> DataFrame:
     pairs = pairwise(buffer_with_count(size)(df), "window_id")
     hit = (F.col("activity") == src) & (F.col("next_activity") == dst) & (F.col("case_id") == F.col("next_case"))
     return pairs.groupBy("window_id").agg(F.count(F.when(hit, 1)).alias("pairs"))
+
+
+def session_cases(df: DataFrame, gap: str, late: str | None = None) -> DataFrame:
+    """(case_id, start, end, events, activities): the stretches of a case without a ``gap`` between
+    events, batch or streaming (then with a watermark ``late`` behind). ``end`` is the last event's time
+    plus the gap; ``activities`` counts the distinct ones."""
+    rows = df.withWatermark("ts", late) if late else df
+    by = F.session_window("ts", gap)
+    found = rows.groupBy("case_id", by.alias("w")).agg(F.count("*").alias("events"), F.size(F.collect_set("activity")).cast("long").alias("activities"))
+    return found.select("case_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "activities")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render
+from ..functions.running import running
 from ..operators import conformance, discovery, filters, objects, windows
 from ..order import with_index
 from ..sources import dict_ocel_log, string_log
@@ -227,16 +228,6 @@ def dfg_miner_ticks(spark, sf_dir):
     return discovery.simple_dfg_ticks(log(spark, sf_dir)).withColumn("rel_freq", F.round("rel_freq", 6))
 
 
-@query(
-    f"{LOG}, o AS (SELECT DISTINCT src, dst FROM rel WHERE src <> dst AND src <> 'error' AND dst <> 'signup'), a AS (SELECT src AS activity FROM o UNION SELECT dst FROM o) "
-    "SELECT * FROM (SELECT activity, activity IN (SELECT src FROM o) AND activity NOT IN (SELECT dst FROM o) AS is_start, "
-    "activity IN (SELECT dst FROM o) AND activity NOT IN (SELECT src FROM o) AS is_end FROM a) WHERE is_start OR is_end"
-)
-def dfg_start_end(spark, sf_dir):
-    edges = dfg_counts(spark, sf_dir).where("src <> 'error' AND dst <> 'signup'")
-    return discovery.start_end_activities(edges)
-
-
 ACTIVITIES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -312,7 +303,24 @@ def hm_budget_ticks(spark, sf_dir):
     return discovery.heuristics_budget_ticks(log(spark, sf_dir), 100, 60)
 
 
-@query()
+#: Distances between activities, and all bounded paths: a relation is a bit of the two masks of a path.
+BEHAVIOUR = (
+    "WITH RECURSIVE " + LOG.removeprefix("WITH ") + ", re AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS r FROM (SELECT DISTINCT src, dst FROM rel)), "
+    "st AS (SELECT DISTINCT arg_min(activity, n) AS a FROM log GROUP BY case_id), en AS (SELECT DISTINCT arg_max(activity, n) AS a FROM log GROUP BY case_id), "
+    "fi AS (SELECT * FROM re WHERE src IN (SELECT a FROM st)), la AS (SELECT * FROM re WHERE dst IN (SELECT a FROM en)), "
+    "fw AS (SELECT r AS s, r, 0 AS d FROM fi UNION SELECT s, x.r, d + 1 FROM fw JOIN re y ON y.r = fw.r JOIN re x ON x.src = y.dst WHERE d < 2 * (SELECT count(DISTINCT src) FROM re)), "
+    "bw AS (SELECT r, 0 AS d FROM la UNION SELECT x.r, d + 1 FROM bw JOIN re y ON y.r = bw.r JOIN re x ON x.dst = y.src WHERE d < 2 * (SELECT count(DISTINCT src) FROM re)), "
+    "pa AS (SELECT r, 0 AS d, 0::BIGINT AS seen, 0::BIGINT AS again FROM fi UNION "
+    "SELECT r, d, CASE WHEN d = 6 THEN 0 ELSE seen END, CASE WHEN d = 6 THEN 0 ELSE again END FROM ("
+    "SELECT x.r, CASE WHEN (seen >> pa.r) & 1 = 1 THEN d ELSE d + 1 END AS d, seen | (1::BIGINT << pa.r) AS seen, "
+    "CASE WHEN (seen >> pa.r) & 1 = 1 THEN again | (1::BIGINT << pa.r) ELSE again END AS again "
+    "FROM pa JOIN re y ON y.r = pa.r JOIN re x ON x.src = y.dst WHERE d < 6) WHERE (again >> r) & 1 = 0), "
+    "mn AS (SELECT s, r, min(d) AS d FROM fw GROUP BY ALL), p AS (SELECT r, min(d) AS lo, max(d) AS hi FROM mn GROUP BY r), "
+    "q AS (SELECT r, max(d) AS hi FROM pa GROUP BY r), e AS (SELECT r, min(d) AS d FROM bw GROUP BY r) "
+)
+
+
+@query(BEHAVIOUR + "SELECT src, dst, lo::INT AS p_min, greatest(p.hi, q.hi)::INT AS p_max, e.d::INT AS f FROM re LEFT JOIN p USING (r) LEFT JOIN q USING (r) LEFT JOIN e USING (r)")
 def behavioral_model(spark, sf_dir):
     return discovery.behavioral_model(log(spark, sf_dir))
 
@@ -393,6 +401,26 @@ def temporal_profile(spark, sf_dir):
     return rows.select("a", "b", F.col("cnt").cast("long").alias("cnt"), F.round("mean_s", 2).alias("mean_s"), F.round("std_s", 2).alias("std_s"))
 
 
+@query(
+    LOG + PROFILE + ", tk AS (SELECT unnest(range(1000, (SELECT m + 1 FROM last), 1000)) AS t) "
+    "SELECT t AS n, a, b, count(*)::BIGINT AS cnt, round(avg(d), 2) AS mean_s, round(coalesce(stddev_samp(d), 0), 2) AS std_s FROM tk JOIN pr ON pr.n <= t GROUP BY ALL"
+)
+def temporal_profile_ticks(spark, sf_dir):
+    rows = discovery.temporal_profile_ticks(log(spark, sf_dir), 1000)
+    return rows.select("n", "a", "b", F.col("cnt").cast("long").alias("cnt"), F.round("mean_s", 2).alias("mean_s"), F.round("std_s", 2).alias("std_s"))
+
+
+@query(
+    "WITH g AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOUR)::INT AS gap FROM events), "
+    "s AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS k FROM g) "
+    "SELECT user_id AS case_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS end, "
+    "count(*)::BIGINT AS events, count(DISTINCT event_type)::BIGINT AS activities FROM s GROUP BY user_id, k"
+)
+def session_cases(spark, sf_dir):
+    rows = windows.session_cases(raw_log(spark, sf_dir), "12 hours")
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})
+
+
 @query(
     LOG + PROFILE + "SELECT n, case_id, pr.a, pr.b, round(d, 3) AS delta_s, round(abs(d - mean_s) / std_s, 3) AS z FROM pr JOIN prof ON pr.a = prof.a AND pr.b = prof.b WHERE abs(d - mean_s) > 2.5 * std_s"
 )
@@ -547,7 +575,7 @@ def _merged(spark, sf_dir):
 
 @query(OC_MERGED + "SELECT * FROM edges")
 def oc_merge(spark, sf_dir):
-    return _merged(spark, sf_dir)[3]
+    return objects.spelled_out(_merged(spark, sf_dir)[3])
 
 
 #: Lossy counts of cardinalities: a fold over the buckets of every activity, pair and cardinality.
@@ -588,7 +616,40 @@ def aer_lossy_ticks(spark, sf_dir):
 )
 def aer_pruned(spark, sf_dir):
     own, messages, commands, edges = _merged(spark, sf_dir)
-    return objects.merged_aer(messages, edges, objects.aer_lossy_ticks(own, 300, 0.01), commands, 300)
+    return objects.spelled_out(objects.merged_aer(messages, edges, objects.aer_lossy_ticks(own, 300, 0.01), commands))
+
+
+@query(OC_MERGED + "SELECT msg, event_n, object_type, type_n FROM cm")
+def oc_dynamic_miner(spark, sf_dir):
+    own = objects.per_type_index(objects.flatten(oc_log(spark, sf_dir)))
+    messages, _ = objects.mined_types(own, default_miner=_counting_miner)
+    return messages.select("msg", "event_n", "object_type", "type_n")
+
+
+def _irregular_aer(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AER models of the events since the last tick, told at irregular ticks: orders of some keys."""
+    tick = (F.col("kind") == 0) & (F.col("key") % 97 == 0)
+    events = running(own.select("n", "activity", "omap", tick.cast("int").alias("tick")), [], "n", slot=("before", "tick"))
+    ticks = events.where("tick = 1").select("slot", F.col("n").alias("at"))
+    pairs = objects.type_pairs(events).join(events.select("n", "slot"), "n").join(ticks, "slot")
+    counts = pairs.groupBy("at", "activity", "type_a", "type_b", "cardinality").agg(F.count("*").alias("freq"), F.min("n").alias("n"))
+    best = F.max(F.struct("freq", (-F.col("n")).alias("n"), "cardinality")).alias("m")
+    aer = counts.groupBy("at", "activity", "type_a", "type_b").agg(best)
+    return aer.select(F.col("at").alias("n"), "activity", "type_a", "type_b", "m.cardinality"), ticks.select(F.col("at").alias("n"))
+
+
+@query(
+    OC_MERGED + ", tk AS (SELECT n FROM ev WHERE kind = 0 AND key % 97 = 0), "
+    "ic AS (SELECT tk.n AS t, pr.activity, type_a, type_b, cardinality, count(*) AS c, min(pr.n) AS f FROM pr ASOF JOIN tk ON pr.n <= tk.n GROUP BY ALL), "
+    "ia AS (SELECT t AS n, activity, type_a, type_b, cardinality FROM (SELECT *, row_number() OVER (PARTITION BY t, activity, type_a, type_b ORDER BY c DESC, f) AS r FROM ic) WHERE r = 1), "
+    "an AS (SELECT msg, tk.n FROM cm ASOF JOIN tk ON cm.event_n >= tk.n), nodes AS (SELECT msg, src AS activity FROM edges UNION SELECT msg, dst FROM edges) "
+    "SELECT msg, activity, type_a, type_b, cardinality FROM an JOIN ia USING (n) JOIN nodes USING (msg, activity) "
+    "WHERE (msg, type_a) IN (SELECT (msg, object_type) FROM ac WHERE on_) AND (msg, type_b) IN (SELECT (msg, object_type) FROM ac WHERE on_)"
+)
+def aer_irregular(spark, sf_dir):
+    own, messages, commands, edges = _merged(spark, sf_dir)
+    aer, ticks = _irregular_aer(own)
+    return objects.spelled_out(objects.merged_aer(messages, edges, aer, commands, ticks))
 
 
 @query("SELECT role AS src, nxt AS dst, count(*)::BIGINT AS freq FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL GROUP BY ALL")
@@ -597,9 +658,24 @@ def conversation_dfg(spark, sf_dir):
     return discovery.dfg(c.select(F.col("turn").alias("n"), F.col("conv_id").alias("case_id"), F.col("role").alias("activity")))
 
 
-@query("SELECT * FROM (VALUES ('A', 'B', 6), ('B', 'C', 5), ('C', 'D', 5), ('A', 'D', 1), ('D', 'C', 1), ('C', 'B', 1)) v(src, dst, freq) WHERE NOT (src = 'A' AND dst = 'B' AND freq = 6) UNION ALL SELECT 'A', 'B', 5")
+@query(
+    "SELECT src, dst, count(*)::BIGINT AS freq FROM (SELECT lag(c) OVER (PARTITION BY p_partkey ORDER BY i) AS src, c AS dst FROM "
+    "(SELECT p_partkey, unnest(string_split(p_name, '')) AS c, unnest(range(len(p_name))) AS i FROM part)) WHERE src IS NOT NULL GROUP BY ALL"
+)
 def string_log_dfg(spark, sf_dir):
-    return discovery.dfg(string_log(spark, ["ADCB", *["ABCD"] * 5])).withColumn("freq", F.col("freq").cast("int"))
+    return discovery.dfg(string_log(spark, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("trace"))))
+
+
+@query(
+    "WITH r AS (SELECT 'conversations' AS log, role AS src, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations UNION ALL "
+    "SELECT 'types', c, lead(c) OVER (PARTITION BY p_partkey ORDER BY i) FROM (SELECT p_partkey, unnest(string_split(p_type, '')) AS c, unnest(range(len(p_type))) AS i FROM part)), "
+    "o AS (SELECT DISTINCT log, src, dst FROM r WHERE src <> dst), a AS (SELECT log, src AS activity FROM o UNION SELECT log, dst FROM o) "
+    "SELECT * FROM (SELECT log, activity, (log, activity) NOT IN (SELECT (log, dst) FROM o) AS is_start, (log, activity) NOT IN (SELECT (log, src) FROM o) AS is_end FROM a) WHERE is_start OR is_end"
+)
+def dfg_start_end(spark, sf_dir):
+    types = string_log(spark, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_type").alias("trace")))
+    edges = conversation_dfg(spark, sf_dir).withColumn("log", F.lit("conversations")).unionByName(discovery.dfg(types).withColumn("log", F.lit("types")))
+    return discovery.start_end_activities(edges, by=("log",))
 
 
 TEMPLATE = [
@@ -608,18 +684,18 @@ TEMPLATE = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('Customer', 'register', 'order', 7), ('Order', 'order', 'add', 7)) v(object_type, src, dst, freq)")
+@query("SELECT 'Customer' AS object_type, 'register' AS src, 'order' AS dst, count(*)::BIGINT AS freq FROM customer UNION ALL SELECT 'Order', 'order', 'add', count(*) FROM customer")
 def dict_ocel_dfg(spark, sf_dir):
-    return objects.oc_dfg(objects.flatten(dict_ocel_log(spark, [(TEMPLATE, 7)]))).withColumn("freq", F.col("freq").cast("int"))
+    return objects.oc_dfg(objects.flatten(dict_ocel_log(spark, [(TEMPLATE, table(spark, sf_dir, "customer").count())])))
 
 
-@query("SELECT * FROM (VALUES ('Customer', 'register', true, false), ('Customer', 'order', false, true), ('Order', 'order', true, false), ('Order', 'add', false, true)) v(object_type, activity, is_start, is_end)")
+@query(
+    OC_MERGED + ", o AS (SELECT DISTINCT msg, object_type, src, dst FROM edges WHERE src <> dst), a AS (SELECT msg, object_type, src AS activity FROM o UNION SELECT msg, object_type, dst FROM o), "
+    "m AS (SELECT *, EXISTS (FROM o WHERE o.msg = a.msg AND o.object_type = a.object_type AND o.src = a.activity) AS s, EXISTS (FROM o WHERE o.msg = a.msg AND o.object_type = a.object_type AND o.dst = a.activity) AS t FROM a) "
+    "SELECT msg, object_type, activity, s AND NOT t AS is_start, t AND NOT s AS is_end FROM m WHERE s <> t"
+)
 def oc_merge_ends(spark, sf_dir):
-    own = dict_ocel_log(spark, [(TEMPLATE, 30)])
-    messages, models = objects.oc_miner(own, 10)
-    merged = objects.merged_ocdfg(messages, models, objects.relative_frequency(messages, 0.05))
-    last = merged.agg(F.max("msg")).first()[0]
-    return objects.merged_ends(merged).where(F.col("msg") == last).where("object_type <> 'Item'").drop("msg")
+    return objects.spelled_out(objects.merged_ends(_merged(spark, sf_dir)[3]))
 
 
 @query(

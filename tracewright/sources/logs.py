@@ -27,9 +27,10 @@ def from_table(
     return with_index(rows, "ts", tie) if tie else with_index(rows, "ts", "case_id", "activity")
 
 
-def string_log(spark: SparkSession, traces: Iterable[str]) -> DataFrame:
-    """Each string is a case, each character an event, trace after trace."""
-    rows = spark.createDataFrame(list(enumerate(traces)), "i long, trace string")
+def string_log(spark: SparkSession, traces: Iterable[str] | DataFrame) -> DataFrame:
+    """Each string is a case, each character an event, trace after trace. Traces are given as strings or
+    as a table (i, trace), with numbers that order and name the cases."""
+    rows = traces if isinstance(traces, DataFrame) else spark.createDataFrame(list(enumerate(traces)), "i long, trace string")
     chars = rows.select("i", F.posexplode(F.split("trace", "")).alias("p", "activity")).where("activity <> ''")
     w = with_index(chars, "i", "p")
     return w.select(

@@ -15,7 +15,7 @@ from ..operators.discovery import BudgetState
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _with_store(df: DataFrame) -> DataFrame:
+def with_store(df: DataFrame) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return df
 
@@ -42,7 +42,7 @@ class _LastActivity(StatefulProcessor):
 def directly_follows_stream(df: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(n, case_id, src, dst) of a stream (n, case_id, activity): a case's state is its last activity,
     forgotten after ``ttl_ms`` without events if that is given."""
-    keyed = _with_store(df.select("n", F.col("case_id").cast("string"), "activity")).groupBy("case_id")
+    keyed = with_store(df.select("n", F.col("case_id").cast("string"), "activity")).groupBy("case_id")
     return keyed.transformWithStateInPandas(
         _LastActivity(ttl_ms), "n long, case_id string, src string, dst string", outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
@@ -94,7 +94,7 @@ def behavioral_conformance_stream(df: DataFrame, model: DataFrame) -> DataFrame:
     number = lambda v: None if v is None else int(v)
     rows = {(r.src, r.dst): (number(r.p_min), number(r.p_max), number(r.f)) for r in model.collect()}
     most = max((f for _, _, f in rows.values() if f is not None), default=0)
-    keyed = _with_store(df.select("n", F.col("case_id").cast("string"), "activity")).groupBy("case_id")
+    keyed = with_store(df.select("n", F.col("case_id").cast("string"), "activity")).groupBy("case_id")
     schema = "n long, case_id string, conformance double, confidence double, completeness double"
     return keyed.transformWithStateInPandas(_Behaviour(rows, most), schema, outputMode="Append", timeMode="None")
 
@@ -132,7 +132,7 @@ def soft_conformance_stream(df: DataFrame, pdfa: DataFrame, alpha: float = 0.5)
 
     size = node_count(pdfa)
     weights = {(r.src, r.dst): r.prob for r in normalize_weights(pdfa, alpha).collect()}
-    keyed = _with_store(df.select("n", F.col("case_id").cast("string"), "activity")).groupBy("case_id")
+    keyed = with_store(df.select("n", F.col("case_id").cast("string"), "activity")).groupBy("case_id")
     schema = "n long, case_id string, log_prob double, mean_prob double, soft_conformance double"
     return keyed.transformWithStateInPandas(_Soft(weights, alpha + (1 - alpha) / max(1, size)), schema, outputMode="Append", timeMode="None")
 
@@ -165,7 +165,7 @@ class _Budget(StatefulProcessor):
 def heuristics_budget_stream(df: DataFrame, model_update_frequency: int = 10, budget: int = 100) -> DataFrame:
     """Budgeted lossy counting of a stream: one key, as the budget spans all cases."""
     rows = df.select("n", F.col("case_id").cast("string"), "activity", F.lit(0).alias("all"))
-    return _with_store(rows).groupBy("all").transformWithStateInPandas(
+    return with_store(rows).groupBy("all").transformWithStateInPandas(
         _Budget(budget, model_update_frequency), "n long, src string, dst string, freq long", outputMode="Append", timeMode="None"
     )
 

@@ -36,7 +36,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated windows go; ``n_chars`` follows the text. A document stays even if nothing of
     it is left."""
-    cut = drop_repeated_words(docs)
+    cut = drop_repeated_words(docs, counts=tuple(free_name(docs, "__words", "__removed")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, free_name
 
 #: A word is a run of letters and digits of the lower-cased text.
 _GAP = r"[^\p{L}\p{N}]+"
@@ -115,8 +115,10 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold a benchmark item (see ``contained_items``); columns unchanged."""
+    """docs without those that hold a benchmark item (see ``contained_items``); columns unchanged, whatever
+    their names."""
     found = contained_items(docs, items, id_col=id_col, **options)
     work = Workspace(docs.sparkSession, "contaminated")
-    gone = work.save(found.select(F.col("doc_id").alias("__gone")).distinct(), "ids")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    (name,) = free_name(docs, "__gone")
+    gone = work.save(found.select(F.col("doc_id").alias(name)).distinct(), "ids")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")

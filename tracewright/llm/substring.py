@@ -71,11 +71,11 @@ def repeated_windows(texts: DataFrame, work: Workspace, window: int, gram: int)
 
 
 def drop_repeated_words(
-    docs: DataFrame, window: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_words", "n_removed")
 ) -> DataFrame:
     """docs with every word removed that lies in a window of ``window`` words whose words also start
     anywhere else, in the same document or another; kept words are joined by single spaces. Adds
-    ``n_words`` and ``n_removed`` (columns of docs with these names are replaced).
+    the numbers of words and of removed words, named by ``counts`` (columns of docs with these names are replaced).
 
     Words are runs of characters other than the six ASCII spaces, unchanged. Windows are judged on
     the input. Null texts have no words and become empty; null and repeated ids are allowed, each
@@ -83,32 +83,32 @@ def drop_repeated_words(
     A text of any length is one row and fits in a task. Other columns, whatever their names, are
     kept. An empty table gives an empty result."""
     work = Workspace(docs.sparkSession, "substring")
-    docs = docs.drop("n_words", "n_removed")
+    docs = docs.drop(*counts)
     key, p, n = free_name(docs, "__key", "__p", "__n")
     own = keyed(docs, work, id_col, text_col, key)
     texts = own.select(F.col(key).alias("__key"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
     spans = repeated_windows(texts, work, window, gram).toDF(key, p, n)
     schema = T.StructType(
         [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema]
-        + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]
+        + [T.StructField(c, T.LongType()) for c in counts]
     )
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (s for b in batches for s in slices(b, text_col)):
-            texts, counts, gone = [], [], []
+            texts, sizes, gone = [], [], []
             for text, first, size in zip(*(part.column(c).to_pylist() for c in (text_col, p, n))):
                 words = (text or "").encode().split()
-                counts.append(len(words))
+                sizes.append(len(words))
                 if first is not None:
                     kept, last = [], 0
                     for a, b in covered(numbers(first), numbers(size), window):
                         kept += words[last:a]
                         last = b
                     words = kept + words[last:]
-                gone.append(counts[-1] - len(words))
+                gone.append(sizes[-1] - len(words))
                 texts.append(b" ".join(words).decode())
-            arrays = [part.column(i) for i in range(len(schema) - 2)] + [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
+            arrays = [part.column(i) for i in range(len(schema) - 2)] + [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 

@@ -187,3 +187,25 @@ def test_merge_has_only_active_types(spark):
         want[m] = on & seen
     got = {r.msg: set(r.t) for r in graph.groupBy("msg").agg(F.collect_set("object_type").alias("t")).collect()}
     assert got == {m: t for m, t in want.items() if t}
+
+
+def test_lossy_input(spark):
+    schema = "n long, activity string, omap map<string,array<string>>"
+    rows = [(i, "AB"[i % 2], {"Order": [f"o{i % 3}"]}) for i in range(1, 40)]
+    cases = spark.createDataFrame([(n, a, m["Order"][0]) for n, a, m in rows], "n long, activity string, case_id string")
+    want = sorted(map(tuple, discovery.heuristics_lossy_ticks(cases, 5, 0.1).collect()))
+    assert sorted(map(tuple, discovery.heuristics_lossy_ticks(spark.createDataFrame(rows, schema), 5, 0.1).collect())) == want
+    for bad in ({"Order": ["a", "b"]}, {"Order": ["a"], "Item": ["b"]}, {}):
+        with pytest.raises(ValueError):
+            discovery.heuristics_lossy_ticks(spark.createDataFrame([*rows, (40, "A", bad)], schema))
+    with pytest.raises(TypeError):
+        discovery.heuristics_lossy_ticks(spark.range(3))
+
+
+def test_dot_names_are_escaped(spark):
+    from tracewright.functions import render
+
+    edges = spark.createDataFrame([('ty"pe', 'a"b', "c\\\\d", 2)], "object_type string, src string, dst string, freq long")
+    assert '"a\\"b" -> "c\\\\\\\\d"' in render.ocdfg_to_dot(edges)
+    aer = spark.createDataFrame([('a"b', "x", 'y"', "1..1")], "activity string, type_a string, type_b string, cardinality string")
+    assert 'label="a\\"b"' in render.aer_to_dot(aer) and '"a\\"b/y\\""' in render.aer_to_dot(aer)

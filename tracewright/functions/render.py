@@ -12,6 +12,9 @@ def colour(i: int) -> str:
     return f"{(0.58 + i * 0.6180339887) % 1:.3f} {(0.75, 0.45)[i % 2]} {(0.7, 0.85)[i // 2 % 2]}"
 
 
+def _escaped(name: str) -> str:
+    return str(name).replace("\\", "\\\\").replace('"', '\\"')
+
 
 def _quoted(name: str):
     return F.concat(F.lit('"'), F.regexp_replace(F.col(name), '(["\\\\])', "\\\\$1"), F.lit('"'))
@@ -33,7 +36,7 @@ def dfg_to_dot(edges: DataFrame) -> str:
 
     lines = [r.line for r in dfg_lines(edges).orderBy("src", "dst").collect()]
     for r in start_end_activities(edges, loops_count=True).orderBy("activity").collect():
-        name = r.activity.replace("\\", "\\\\").replace('"', '\\"')
+        name = _escaped(r.activity)
         lines += [f'"__start__" -> "{name}" [style=dashed];'] * r.is_start + [f'"{name}" -> "__end__" [style=dashed];'] * r.is_end
     return "digraph {\n" + "\n".join(lines) + "\n}\n"
 
@@ -44,7 +47,7 @@ def ocdfg_to_dot(edges: DataFrame) -> str:
     types = sorted({r.object_type for r in rows})
     colours = {t: colour(i) for i, t in enumerate(types)}
     return "digraph {\n" + "".join(
-        f'"{r.src}" -> "{r.dst}" [color="{colours[r.object_type]}", label="{r.object_type} {r.freq}"];\n' for r in rows
+        f'"{_escaped(r.src)}" -> "{_escaped(r.dst)}" [color="{colours[r.object_type]}", label="{_escaped(r.object_type)} {r.freq}"];\n' for r in rows
     ) + "}\n"
 
 
@@ -55,11 +58,11 @@ def aer_to_dot(aer: DataFrame) -> str:
     types = sorted({t for r in rows for t in (r.type_a, r.type_b)})
     lines = []
     for i, a in enumerate(dict.fromkeys(r.activity for r in rows)):
-        own = [r for r in rows if r.activity == a]
-        lines.append(f'subgraph cluster_{i} {{ label="{a}";')
+        own, name = [r for r in rows if r.activity == a], _escaped(a)
+        lines.append(f'subgraph cluster_{i} {{ label="{name}";')
         for t in sorted({t for r in own for t in (r.type_a, r.type_b)}):
-            lines.append(f'"{a}/{t}" [shape=box, label="{t}", color="{colour(types.index(t))}"];')
-        lines += [f'"{a}/{r.type_a}" -> "{a}/{r.type_b}" [dir=none, label="{r.cardinality}"];' for r in own] + ["}"]
+            lines.append(f'"{name}/{_escaped(t)}" [shape=box, label="{_escaped(t)}", color="{colour(types.index(t))}"];')
+        lines += [f'"{name}/{_escaped(r.type_a)}" -> "{name}/{_escaped(r.type_b)}" [dir=none, label="{r.cardinality}"];' for r in own] + ["}"]
     return "digraph {\n" + "\n".join(lines) + "\n}\n"
 
 

@@ -69,6 +69,19 @@ def simple_dfg_ticks(df: DataFrame, model_update_frequency: int = 10, min_relati
     return rows.where(F.col("rel_freq") > min_relative_frequency).select("n", "src", "dst", "freq", "rel_freq")
 
 
+def case_events(df: DataFrame) -> DataFrame:
+    """df as a log of cases. Object-centric events (n, activity, omap) must have exactly one object each,
+    which is their case; others are a ValueError, and tables of neither kind a TypeError."""
+    if {"n", "case_id", "activity"} <= set(df.columns):
+        return df
+    if not {"n", "activity", "omap"} <= set(df.columns):
+        raise TypeError("a log has n, activity and case_id, or omap")
+    ids = F.flatten(F.map_values("omap"))
+    if not df.where(F.coalesce(F.size(F.array_distinct(ids)), F.lit(0)) != 1).isEmpty():
+        raise ValueError("events must be flattened to one object each")
+    return df.withColumn("case_id", F.element_at(ids, 1)).drop("omap")
+
+
 def _survivors(df: DataFrame, width: int, group: list[str] = []) -> DataFrame:  # noqa: B006
     """The relations that a lossy table of cases still knows the first half of."""
     w = Window.partitionBy(*group, "case_id").orderBy("n")
@@ -88,8 +101,9 @@ def heuristics_lossy_ticks(
     (n + 1) divisible by ``model_update_frequency``.
 
     Both tables of the algorithm (cases, relations) are counted in closed form, see
-    ``functions.lossy``. ``group`` names columns (such as the object type) with an index n of their own."""
-    group = group or []
+    ``functions.lossy``. ``group`` names columns (such as the object type) with an index n of their own.
+    Events of one object each are taken as they are, see ``case_events``."""
+    df, group = case_events(df), group or []
     width, f = math.ceil(1 / max_approx_error), model_update_frequency
     rows = _survivors(df, width, group).withColumn("slot", F.ceil((F.col("n") + 1) / f))
     states = lossy_states(rows, [*group, "src", "dst"])

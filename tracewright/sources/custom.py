@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
-def event_source(name: str, schema: str, produce: Callable[[int, int], Iterable[tuple]], shards: int = 1, step: int = 1000) -> type[DataSource]:
+def event_source(
+    name: str, schema: str, produce: Callable[[int, int], Iterable[tuple]], shards: int = 1, step: int = 1000, newest: Callable[[], int] | None = None
+) -> type[DataSource]:
     """A data source class: ``produce(start, stop)`` gives the rows with these offsets (fewer at the
-    end). Batch reads option ``stop`` rows in ``shards`` partitions; streams read ``step`` offsets at a
-    time up to ``stop``. Register it with ``spark.dataSource.register``."""
+    end), always on executors. Batch reads option ``stop`` rows in ``shards`` partitions. A stream goes up to
+    ``newest()``, which the driver asks before every micro-batch (without it, option ``stop``), and reads
+    what is new in partitions of ``step`` offsets; the checkpoint keeps the offset, so a restart reads each
+    row once. Register it with ``spark.dataSource.register``."""
 
     class Shard(InputPartition):
         def __init__(self, start: int, stop: int) -> None:
@@ -28,19 +32,21 @@ def event_source(name: str, schema: str, produce: Callable[[int, int], Iterable[
         def read(self, partition: Shard) -> Iterable[tuple]:
             yield from produce(partition.start, partition.stop)
 
-    class StreamReader(SimpleDataSourceStreamReader):
+    class StreamReader(DataSourceStreamReader):
         def __init__(self, options: dict) -> None:
-            self.stop = int(options.get("stop", 0))
+            self.stop_at = int(options.get("stop", 0))
 
         def initialOffset(self) -> dict:
             return {"at": 0}
 
-        def read(self, start: dict) -> tuple:
-            end = min(start["at"] + step, self.stop)
-            return iter(list(produce(start["at"], end))), {"at": end}
+        def latestOffset(self) -> dict:
+            return {"at": self.stop_at if newest is None else newest()}
+
+        def partitions(self, start: dict, end: dict) -> list[Shard]:
+            return [Shard(a, min(a + step, end["at"])) for a in range(start["at"], end["at"], step)]
 
-        def readBetweenOffsets(self, start: dict, end: dict) -> Iterable[tuple]:
-            return iter(list(produce(start["at"], end["at"])))
+        def read(self, partition: Shard) -> Iterable[tuple]:
+            yield from produce(partition.start, partition.stop)
 
     class Source(DataSource):
         @classmethod
@@ -53,7 +59,7 @@ def event_source(name: str, schema: str, produce: Callable[[int, int], Iterable[
         def reader(self, schema) -> Reader:
             return Reader(self.options)
 
-        def simpleStreamReader(self, schema) -> StreamReader:
+        def streamReader(self, schema) -> StreamReader:
             return StreamReader(self.options)
 
     return Source

@@ -37,7 +37,7 @@ class Settings:
     neutral: int = 60
     toxic_share: float = 0.4
     decay: float = 3e-5
-    decays: tuple[float, ...] = (1e-5, 3e-5, 1e-4)
+    decays: tuple[float, ...] = (3e-5, 1e-4)
     most_rows: int = 3000
     most_words: int = 4000
     steps: int = 50

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, free_name
+from .common import Workspace, free_name, unique_ids
 
 #: A word is a run of letters and digits of the lower-cased text.
 _GAP = r"[^\p{L}\p{N}]+"
@@ -27,33 +27,57 @@ def _windows(w: Column, size: int, each: Callable[[Column], Column], kind: str)
     return F.when(F.size(w) >= size, F.transform(starts, each)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def shingles(text: Column, size: int) -> Column:
-    """The distinct word shingles as strings; none for fewer words."""
-    return _let(
-        words(text),
-        lambda w: F.array_distinct(_windows(w, size, lambda i: F.array_join(F.slice(w, i + 1, size), " "), "string")),
-    )
+def _strings(w: Column, size: int) -> Column:
+    return _windows(w, size, lambda i: F.array_join(F.slice(w, i + 1, size), " "), "string")
 
 
-def shingle_hashes(text: Column, size: int) -> Column:
-    return _let(
-        words(text), lambda w: _windows(w, size, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]), "bigint")
-    )
+def _hashes(w: Column, size: int) -> Column:
+    return _windows(w, size, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]), "bigint")
+
+
+def item_shingles(text: Column, size: int) -> Column:
+    """The distinct shingles of ``size`` words; of fewer words the whole item is the one shingle. None
+    for an item without words."""
+
+    def of(w: Column) -> Column:
+        whole = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) < size, whole).otherwise(F.array_distinct(_strings(w, size)))
+
+    return _let(words(text), of)
+
 
+def text_shingles(text: Column, sizes: list[int], windows: Callable[[Column, int], Column] = _strings) -> Column:
+    """The distinct shingles of each of ``sizes`` words, or their hashes."""
+    return _let(words(text), lambda w: F.array_distinct(F.concat(*[windows(w, k) for k in sizes])))
 
-def sketches(items: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(item_id, n_item, size_class, hash): the bottom-k MinHash sketch of each item.
 
-    Items are partitioned by size (classes of powers of two) and a class sets k: a text that holds
+def _hash(shingle: Column, size: int) -> Column:
+    """The hash of a shingle's words, which are ``size`` or fewer."""
+
+    def of(w: Column) -> Column:
+        found = F.xxhash64(*[F.get(w, F.lit(k)) for k in range(size)])
+        for n in range(size - 1, 0, -1):
+            found = F.when(F.size(w) == n, F.xxhash64(*[F.get(w, F.lit(k)) for k in range(n)])).otherwise(found)
+        return found
+
+    return _let(F.split(shingle, " "), of)
+
+
+def sketches(items: DataFrame, threshold: float) -> DataFrame:
+    """(item, size_class, least, hash): the bottom-k MinHash sketch of each item.
+
+    Items are partitioned by size (classes of powers of two). A class sets k: a text that holds
     ``threshold`` of an item's n shingles lacks at most n - ceil(threshold * n), so among any one
     more than that at least one is found. k is that number for the largest n of the class (or all
-    of them), and the search then misses nothing."""
-    top = F.pow(F.lit(2), F.col("size_class") + 1) - 1
+    of them), and the search then misses nothing. It also sets ``least``, the shingles that a text must
+    have to hold ``threshold`` of the smallest item that the class may have: shorter texts pass it over."""
+    bottom, top = F.pow(F.lit(2), F.col("size_class")), F.pow(F.lit(2), F.col("size_class") + 1) - 1
     k = F.least(F.col("n_item"), top - F.ceil(F.lit(threshold) * top) + 1).cast("int")
     return (
         items.withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
         .withColumn("sketch", F.slice(F.array_sort("hashes"), 1, k))
-        .select("item_id", "n_item", "size_class", F.explode("sketch").alias("hash"))
+        .withColumn("least", F.ceil(F.lit(threshold) * bottom))
+        .select("item", "size_class", "least", F.explode("sketch").alias("hash"))
     )
 
 
@@ -70,47 +94,51 @@ def contained_items(
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document and item where the
     document holds at least ``threshold`` of the item's distinct shingles of ``size`` words.
 
-    Sketches of the items (see ``sketches``) meet the shingles of whole documents of any size.
-    Candidates are then verified on the shingles themselves. The documents' texts move only if the candidates (a written table, whose size Spark
-    knows) are too many to send to them.
+    Items with equal shingles are searched as one. The items' sketches, by size class (see
+    ``sketches``), meet the shingles of whole documents of any length that are large enough for the
+    class. Candidates take their item's shingles, and those that the document holds are counted: no step
+    pairs documents with items that are no candidates.
 
-    Items with fewer than ``size`` words have no shingles and match nothing, and so do null texts.
-    Rows that share a doc_id (or an item_id) count as one text with the shingles of all of them;
-    null ids are an id of their own. Empty tables give an empty result; other columns are not
-    read."""
+    An item with fewer than ``size`` words is one shingle, its whole text, which documents must hold in
+    a row. Items without words match nothing, and so do null texts. Rows that share a doc_id (or an
+    item_id) count as one text with the shingles of all of them; null ids are an id of their own. Empty
+    tables give an empty result; other columns are not read."""
     work = Workspace(docs.sparkSession, "decontamination")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = (
-        items.select(F.col(item_id_col).cast("long").alias("item_id"), F.explode(shingles(F.col(item_text_col), size)).alias("s"))
+        items.select(F.col(item_id_col).cast("long").alias("item_id"), F.explode(item_shingles(F.col(item_text_col), size)).alias("s"))
         .groupBy("item_id")
-        .agg(F.collect_set("s").alias("item_shingles"))
-        .withColumn("n_item", F.size("item_shingles"))
-        .withColumn("hashes", F.transform("item_shingles", lambda s: _let(F.split(s, " "), lambda w: F.xxhash64(*[F.get(w, F.lit(k)) for k in range(size)]))))
+        .agg(F.array_sort(F.collect_set("s")).alias("shingles"))
     )
-    own = work.save(own, "items")
-    sketch = work.save(sketches(own, size, threshold), "sketches")
-
-    hashed = texts.withColumn("hs", shingle_hashes(F.col("text"), size))
+    own = work.save(own.withColumn("item", F.sha2(F.array_join("shingles", "\n"), 256)), "items")
+    sets = own.groupBy("item").agg(F.first("shingles").alias("shingles")).withColumn("n_item", F.size("shingles"))
+    sets = sets.withColumn("hashes", F.transform("shingles", lambda s: _hash(s, size)))
+    sets = work.save(sets, "sets")
+    sketch = work.save(sketches(sets, threshold), "sketches")
+    lengths = sets.select(F.explode("shingles").alias("s")).select(F.size(F.split("s", " ")).alias("k")).distinct()
+    sizes = sorted(r.k for r in lengths.collect()) or [size]  # at most ``size`` lengths
+
+    hashed = texts.withColumn("hs", text_shingles(F.col("text"), sizes, _hashes)).withColumn("n_doc", F.size("hs").cast("long"))
+    if not unique_ids(texts, "doc_id"):
+        sums = hashed.groupBy(F.col("doc_id").alias("d")).agg(F.sum("n_doc").alias("n_doc"))
+        hashed = hashed.drop("n_doc").join(sums, F.col("doc_id").eqNullSafe(F.col("d")))
     met = (
-        hashed.select("doc_id", F.explode("hs").alias("hash"))
-        .join(sketch, "hash")
-        .groupBy("doc_id", "item_id")
-        .agg(F.first("n_item").alias("n_item"))
+        hashed.select("doc_id", "n_doc", F.explode("hs").alias("h"))
+        .join(sketch, (F.col("h") == F.col("hash")) & (F.col("n_doc") >= F.col("least")))
+        .select("doc_id", "item")
+        .distinct()
     )
-    met = work.save(met.select("doc_id", "item_id"), "candidates")
-
-    wanted = met.select(F.col("doc_id").alias("candidate")).distinct()
-    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("candidate")), "left_semi")
-    held = held.select("doc_id", F.explode(shingles(F.col("text"), size)).alias("s"))
-    items_of = own.select(F.col("item_id").alias("i"), F.explode("item_shingles").alias("s"), "n_item")
-    shared = held.join(items_of, "s").select("doc_id", F.col("i").alias("item_id"), "n_item", "s").distinct()
-    pair = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("item_id").eqNullSafe(F.col("j")))
-    shared = shared.join(met.select(F.col("doc_id").alias("d"), F.col("item_id").alias("j")), pair, "left_semi")
-    return (
-        shared.groupBy("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item_shingles"))
-        .agg(F.count("*").alias("n_shared"))
-        .withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
-        .where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item_shingles")))
+    met = work.save(met, "candidates")
+
+    wanted = met.select(F.col("doc_id").alias("d")).distinct()
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    held = held.select(F.col("doc_id").alias("d"), F.explode(text_shingles(F.col("text"), sizes)).alias("t"))
+    asked = met.join(sets.select("item", "n_item", F.explode("shingles").alias("s")), "item")
+    shared = asked.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("s") == F.col("t")), "left_semi")
+    found = shared.groupBy("doc_id", "item", F.col("n_item").cast("long").alias("n_item_shingles")).agg(F.count("*").alias("n_shared"))
+    found = found.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item_shingles")))
+    return found.join(own.select("item", "item_id"), "item").select(
+        "doc_id", "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment")
     )
 
 

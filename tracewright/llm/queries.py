@@ -164,10 +164,12 @@ WITH t AS (
   SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
 ), w AS (
   SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM t
+), k AS (
+  SELECT DISTINCT least(len(ws), 5) AS k FROM w WHERE side = 1 AND len(ws) > 0
 ), p AS (
-  SELECT side, id, ws, unnest(range(0, greatest(len(ws) - 4, 0))) AS p FROM w
+  SELECT side, id, ws, k, unnest(range(0, greatest(len(ws) - k + 1, 0))) AS p FROM w, k WHERE side = 0 OR k = least(len(ws), 5)
 ), s AS (
-  SELECT DISTINCT side, id, array_to_string(ws[p + 1 : p + 5], ' ') AS s FROM p
+  SELECT DISTINCT side, id, array_to_string(ws[p + 1 : p + k], ' ') AS s FROM p
 ), n AS (
   SELECT id, count(*) AS n FROM s WHERE side = 1 GROUP BY id
 )

@@ -290,8 +290,13 @@ def equal_windows(group: list[tuple], shared: list[int], width: int) -> Iterator
                     yield key, start - i, 1
 
 
-def _merge_range(batches: Iterator[pa.RecordBatch], width: int, gram: int, ranges: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Merge the runs of one range. Blocks wait compressed, one of each run is open."""
+def _merge_range(
+    batches: Iterator[pa.RecordBatch], width: int, gram: int, splitters: list[bytes], parts: int, group_rows: int
+) -> Iterator[pa.RecordBatch]:
+    """Merge the runs of one range. Blocks wait compressed, one of each run is open.
+
+    The rows of one gram are compared here if no border of the range falls among them and they are at most
+    ``group_rows``. Otherwise they leave as they come, for the pass that takes window by window."""
     runs: dict[int, list[dict]] = {}
     me = 0
     for batch in batches:
@@ -314,13 +319,16 @@ def _merge_range(batches: Iterator[pa.RecordBatch], width: int, gram: int, range
     found: list[tuple[int, int, int]] = []
     group: list[tuple] = []
     shared: list[int] = []
-    leads = True
     first = (0, 0)
+    leaving = False
+
+    def split(text: bytes) -> bool:
+        """Whether a border of this range falls among the rows of text's gram."""
+        return any(x[:gram] == text[:gram] for x in splitters[max(0, me - 1) : me + 1])
 
-    def close(ends: bool) -> Iterator[pa.RecordBatch]:
-        if gram < width and (leads and me > 0 or ends and me < ranges - 1):
-            for i in range(0, len(group), 4096):
-                yield cut(group[i : i + 4096])
+    def close() -> Iterator[pa.RecordBatch]:
+        if leaving:
+            yield cut(group)
         elif len(group) > 1 and gram < width:
             found.extend(equal_windows(group, shared, width))
 
@@ -328,7 +336,7 @@ def _merge_range(batches: Iterator[pa.RecordBatch], width: int, gram: int, range
     for n, (text, _, key, start) in loser_merge([_items(b) for b in runs.values()]):
         if whole is None:
             whole = len(text)
-        if n == whole and group:
+        if n == whole and group:  # equal to the group's last row
             place = (key, start)
             if place < first:
                 place, first = first, place
@@ -336,10 +344,16 @@ def _merge_range(batches: Iterator[pa.RecordBatch], width: int, gram: int, range
             before = int.from_bytes(text[-5:-3], "big")
             found.append((place[0], place[1] - before, before + int.from_bytes(text[-3:-1], "big") - width + 1))
             continue
-        if n < gram and group:
-            yield from close(False)
-            leads = False
+        if n < gram:
+            yield from close()
             group, shared = [], []
+            leaving = gram < width and split(text)
+        # The last row stays, as an equal row of an earlier place would take its own.
+        if len(group) >= (4096 if leaving else group_rows) and gram < width:
+            leaving = True
+            for i in range(0, len(group) - 1, 4096):
+                yield cut(group[i : min(i + 4096, len(group) - 1)])
+            group, shared = group[-1:], []
         group.append((text, key, start))
         shared.append(n)
         first = (key, start)
@@ -347,7 +361,7 @@ def _merge_range(batches: Iterator[pa.RecordBatch], width: int, gram: int, range
             yield from rows(found)
             found.clear()
     if group:
-        yield from close(True)
+        yield from close()
     yield from rows(found)
 
 
@@ -360,10 +374,13 @@ def _listed(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterat
             yield from by_key(np.frombuffer(_open(keys), np.int64), np.frombuffer(_open(starts), np.int64) - before, before + after - width + 1, parts)
 
 
-def merged_runs(runs: DataFrame, work: Workspace, name: str, width: int, gram: int, range_rows: int) -> DataFrame:
+def merged_runs(
+    runs: DataFrame, work: Workspace, name: str, width: int, gram: int, range_rows: int, group_rows: int = 50_000
+) -> DataFrame:
     """``MERGED`` rows of sorted runs (``BLOCKS``, written). Ranges of about ``range_rows`` distinct rows
     are one task each; their number grows with the rows. Borders come from a sample of block heads, a
-    few for each range, of which only prefixes reach the driver and the tasks."""
+    few for each range, and may fall anywhere but between equal rows, so the rows of a frequent gram
+    are several ranges. Tasks get of each border only what tells it from the sample before it."""
     spark = runs.sparkSession
     parts = parts_of(spark)
     blocks = runs.where("block >= 0")
@@ -371,18 +388,26 @@ def merged_runs(runs: DataFrame, work: Workspace, name: str, width: int, gram: i
     ranges = max(1, -(-rows // range_rows), min(parts, count // 4))
     splitters: list[bytes] = []
     if ranges > 1:
-        heads = blocks.select(F.substring("head", 1, 32).alias("head"))
+        heads = blocks.select("head")
         if count > 8 * ranges:
             heads = heads.sample(8 * ranges / count, seed=7)
-        drawn = sorted(bytes(r.head) for r in heads.collect())
-        splitters = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)} if drawn else set())
+        drawn = sorted({bytes(r.head) for r in heads.collect()})
+        at = sorted({len(drawn) * i // ranges for i in range(1, ranges)} - {0})
+        splitters = [drawn[i][: common(drawn[i - 1], drawn[i]) + 1] for i in at]
     held, ranges = spark.sparkContext.broadcast(splitters), len(splitters) + 1
     dealt = blocks.mapInArrow(lambda b: cut_blocks(b, held.value), f"part int, {BLOCKS}").repartitionById(ranges, "part")
-    return work.save(dealt.mapInArrow(lambda b: _merge_range(b, width, gram, ranges, parts), MERGED), name)
+    return work.save(dealt.mapInArrow(lambda b: _merge_range(b, width, gram, held.value, parts, group_rows), MERGED), name)
 
 
 def later_windows(
-    texts: DataFrame, work: Workspace, width: int, gram: int, run_rows: int = 60_000, block_rows: int = 500, range_rows: int = 300_000
+    texts: DataFrame,
+    work: Workspace,
+    width: int,
+    gram: int,
+    run_rows: int = 60_000,
+    block_rows: int = 500,
+    range_rows: int = 300_000,
+    group_rows: int = 50_000,
 ) -> DataFrame:
     """``SPANS`` of all ``width``-byte windows of (__key, text) that also start earlier."""
     spark, parts = texts.sparkSession, parts_of(texts.sparkSession)
@@ -390,7 +415,7 @@ def later_windows(
     rows = texts.join(found.hint("merge"), "__key").select("__key", "text", "p", "n")
     runs = work.save(rows.mapInArrow(lambda b: _segment_runs(b, width, gram, run_rows, block_rows), BLOCKS), "runs", "uncompressed")
     work.drop("segments")
-    merged = merged_runs(runs, work, "merged", width, gram, range_rows)
+    merged = merged_runs(runs, work, "merged", width, gram, range_rows, group_rows)
     listed = runs.where("block < 0").mapInArrow(lambda b: _listed(b, width, parts), RUNS)
     out = merged.where("row IS NULL").select(*(f.split()[0] for f in RUNS.split(", "))).unionByName(listed)
     cut = merged.where("row IS NOT NULL").select("row", "key", "start")

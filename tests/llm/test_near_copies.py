@@ -45,6 +45,36 @@ def test_near_groups(spark):
     assert len(set(want.values())) < len({c for _, _, c in slow_groups(rows)})  # SimHash alone leaves them apart
 
 
+def test_many_partitions_write_few_files(spark, monkeypatch):
+    """Tables of numbers are written by three tasks a core, however many partitions a shuffle has: every file
+    starts processes beside the executor, and small ones came in thousands."""
+    from tracewright.llm.common import Workspace
+
+    rows, written = near_rows(), {}
+    own = Workspace.save
+
+    def save(self, df, name, *rest):
+        out = own(self, df, name, *rest)
+        if "/near-copies-" in self.root:
+            written[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", save)
+    docs = spark.createDataFrame(rows, "k long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false")):
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_groups(docs, "k").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == slow_near(rows)
+    assert {"sketches", "classes", "members", "open-members", "pairs-1", "near-1", "members-2", "left"} <= set(written)
+    few = 3 * spark.sparkContext.defaultParallelism
+    assert {name: n for name, n in written.items() if n > few and name not in ("simhash-groups", "pool-links")} == {}
+
+
 def test_stage_drops_near_copies_beyond_radius_4(spark):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -100,6 +100,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers that one task writes without being long at it.
+ROWS = 1 << 20
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df by fewer tasks, to be written: three a core, and one for each million of about ``rows`` rows of
+    a few numbers. For every file an executor without Hadoop's native library starts three processes (to
+    set its mode), so small partitions with a file each cost more than their rows. A task takes its
+    partitions one after the other, each by itself."""
+    return df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
+
+
 def dealt_join(big: DataFrame, small: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
     """big (n rows) joined with small (one row a key). The rows of a key that has over a thousandth of
     big are dealt out; there are at most a thousand such keys, which are broadcast. ``key`` may not be null."""

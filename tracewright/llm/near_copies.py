@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, dealt_join, slices
+from .common import Workspace, dealt_join, gathered, slices
 from .components import components
 from .simhash import shingle_hashes, simhash_groups
 
 #: Two texts with Jaccard similarity j share a bucket with probability 1 - (1 - j^ROWS)^BANDS:
 #: 0.999993 at 0.8, more above.
 BANDS, ROWS = 30, 5
+#: What a whole text counts for among rows of a few numbers.
+TEXT = 128
 
 
 def bucket_keys(shingles: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -80,7 +82,7 @@ def verified(pairs: DataFrame, texts: DataFrame, work: Workspace, name: str, siz
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return work.save(both.mapInArrow(run, "a long, b long"), name)
+    return work.save(gathered(both.mapInArrow(run, "a long, b long"), 2 * TEXT * pairs.count()), name)
 
 
 def cell_links(ids: np.ndarray, first: np.ndarray, sets: list[np.ndarray], threshold: float, block: int = 2048) -> list[tuple[int, int]]:
@@ -114,11 +116,12 @@ def cell_links(ids: np.ndarray, first: np.ndarray, sets: list[np.ndarray], thres
     return out
 
 
-def pool_links(members: DataFrame, texts: DataFrame, work: Workspace, size: int, threshold: float, cell: int = 512) -> DataFrame:
-    """Links (a, b) within pools: members (pool, doc_id, first) of each are dealt into chunks of about
+def pool_links(members: DataFrame, n: int, texts: DataFrame, work: Workspace, size: int, threshold: float, cell: int = 512) -> DataFrame:
+    """Links (a, b) within pools: members (pool, doc_id, first; at most n) of each are dealt into chunks of about
     ``cell``, and each pair of chunks is one cell, so no task holds more than two chunks, no pair is
     left out, and only links leave a task."""
-    count = work.save(members.groupBy("pool").agg(F.count("*").alias("m"), F.countDistinct("first").alias("groups")), "pool-sizes")
+    count = members.groupBy("pool").agg(F.count("*").alias("m"), F.countDistinct("first").alias("groups"))
+    count = work.save(gathered(count, n), "pool-sizes")
     chunks = F.ceil(F.col("m") / cell)
     own = F.pmod(F.xxhash64("doc_id"), chunks)
     pair = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.least(own, j) * F.lit(1 << 31) + F.greatest(own, j))
@@ -160,15 +163,16 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", F.col("component_id").alias("first"))
     groups = work.save(groups, "simhash-groups")
-    own = work.save(sketches(docs, size, id_col, text_col).join(groups, "doc_id"), "sketches")
+    n = groups.count()
+    own = work.save(gathered(sketches(docs, size, id_col, text_col).join(groups, "doc_id"), BANDS * n), "sketches")
 
     classes = own.groupBy("low", "high", "first").agg(F.min("doc_id").alias("doc_id"))
     least = classes.groupBy("low", "high").agg(F.min(F.struct("doc_id", "first")).alias("least"))
-    least = work.save(least.select("low", "high", "least.*"), "classes")
+    least = work.save(gathered(least.select("low", "high", "least.*"), n), "classes")
     equal = classes.select("low", "high", F.col("first").alias("a")).join(
         least.select("low", "high", F.col("first").alias("b")), ["low", "high"]
     )
-    edges = work.save(equal.where("a <> b").select("a", "b"), "equal")
+    edges = work.save(gathered(equal.where("a <> b").select("a", "b"), n), "equal")
 
     def grouped(rows: DataFrame, name: str) -> DataFrame:
         """rows with ``first`` as the edges found so far have it."""
@@ -176,28 +180,31 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int
         return dealt_join(rows, roots, "first", rows.count(), "left").withColumn("first", F.coalesce("root", "first")).drop("root")
 
     now = own.join(least.select("doc_id"), "doc_id", "left_semi")
-    rows = work.save(now.select("doc_id", "first", "n", F.explode("buckets").alias("bucket")), "members")
+    rows = work.save(gathered(now.select("doc_id", "first", "n", F.explode("buckets").alias("bucket")), BANDS * n), "members")
+    most = rows.count()
     open_ = F.min("first") < F.max("first")
 
     hubs = rows.groupBy("bucket").agg(open_.alias("open"), F.min(F.struct("doc_id", "first", "n")).alias("hub")).where("open").drop("open")
-    rows = work.save(rows.join(hubs, "bucket"), "open-members")  # groups only merge, so no other bucket opens later
+    rows = work.save(gathered(rows.join(hubs, "bucket"), most), "open-members")  # groups only merge, so no other bucket opens later
     work.drop("sketches", "classes", "members")
     pair = rows.where(F.col("first") != F.col("hub.first"))
     pair = pair.where(F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n"))
-    tried = work.save(pair.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs-1")
+    pair = pair.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tried = work.save(gathered(pair, most), "pairs-1")
 
     def joined(found: DataFrame, name: str) -> DataFrame:
         """The edges, with those between the groups of the pairs found."""
         one, two = (groups.select(F.col("doc_id").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
         found = found.join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        return work.save(edges.unionByName(found), f"{name}-edges")
+        return work.save(gathered(edges.unionByName(found), most), f"{name}-edges")
 
     edges = joined(verified(tried, texts, work, "near-1", size, threshold), "near-1")
-    rows = work.save(grouped(rows.drop("hub"), "components-1"), "members-2")
+    rows = work.save(gathered(grouped(rows.drop("hub"), "components-1"), most), "members-2")
     work.drop("open-members", "pairs-1")
     rest = rows.groupBy("bucket").agg(open_.alias("open"), F.min("doc_id").alias("hub"), F.count("*").alias("count")).where("open AND count > 2")
-    left = work.save(rows.join(rest.select("bucket", "hub"), "bucket").select("hub", "doc_id", "first").distinct(), "left")
+    left = rows.join(rest.select("bucket", "hub"), "bucket").select("hub", "doc_id", "first").distinct()
+    left = work.save(gathered(left, most), "left")
     pools = components(left.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), work, "pools")
     members = left.select("doc_id", "first").distinct().join(pools.select(F.col("node").alias("doc_id"), F.col("root").alias("pool")), "doc_id")
-    edges = joined(pool_links(members, texts, work, size, threshold), "near-2")
+    edges = joined(pool_links(members, n, texts, work, size, threshold), "near-2")
     return grouped(groups, "components-2").select("doc_id", F.col("first").alias("component_id"))

@@ -60,7 +60,7 @@ def running(rows: DataFrame, keys: list[str], order: str | list[str], size: int
         else:
             raise ValueError(f"no running value is called {kind}")
     # Both sides of the join come from here, so what is behind is run once.
-    part = written(part.withColumns({f"__here_{name}": c for name, c in zip(values, local.values())}), "running")
+    part = written(part.withColumns({f"__here_{name}": c for name, c in zip(values, local.values())}), "running", lean=True)
     ranges = part.groupBy("__key", "__range").agg(*handed).withColumns(carried).select("__key", "__range", *carried)
     out = part.join(ranges, ["__key", "__range"]).withColumns({own: F.col(f"__here_{name}") for name, own in zip(values, local)})
     return out.withColumns(final).select(*[c for c in rows.columns if c not in values], *values)

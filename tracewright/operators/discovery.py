@@ -16,6 +16,10 @@ from ..workspace import written
 from .behaviour import model_of
 
 
+#: Events of a tick up to which one task may hold all of them.
+SHORT_TICK = 10_000
+
+
 def directly_follows(df: DataFrame, order: str = "n") -> DataFrame:
     """df's events from the second of each case on, with the activity before as ``src`` and their own
     as ``dst``."""
@@ -59,9 +63,12 @@ def simple_dfg_ticks(df: DataFrame, model_update_frequency: int = 10, min_relati
     relations whose share of the most frequent one is above the minimum.
 
     Counts are combined by relation and tick, and run over ranges of ticks; a relation then stands for
-    the ticks up to its next change."""
+    the ticks up to its next change. Rows sorted by case hold too many ticks to be combined before they move,
+    so those of a short tick are dealt out by tick and counted where they meet."""
     f = max(model_update_frequency, 2)
     slots = directly_follows(df).select("src", "dst", F.ceil(F.col("n") / f).alias("slot"))
+    if f <= SHORT_TICK:
+        slots = slots.repartition("slot")
     rows = slots.groupBy("src", "dst", "slot").agg(F.count("*").alias("cnt"))
     rows = running(rows, ["src", "dst"], "slot", freq=("sum", "cnt"), next_slot=("lead", "slot"))
     rows = at_ticks(rows, last_index(df) // f).withColumn("n", F.col("tick") * f)

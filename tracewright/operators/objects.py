@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.cardinality import infer_cardinality
 from ..functions.lossy import at_ticks, lossy_states
 from ..functions.running import as_of, running
 from ..functions.spans import merged_spans, overlaps
-from ..order import last_index, with_index
-from ..workspace import written
+from ..order import last_index, numbered_within, with_index
+from ..workspace import Passing, written
 from .discovery import heuristics_lossy_ticks, start_end_activities
 
 #: The discriminators and commands of the message tables.
@@ -25,10 +29,11 @@ ACTIVE, INACTIVE = "ACTIVE", "INACTIVE"
 def flatten(df: DataFrame) -> DataFrame:
     """(n, flat_pos, object_type, case_id, activity, ts): one event for each object, in the order of
     types and ids."""
-    rows = df.select("n", "activity", "ts", F.explode("omap").alias("object_type", "ids"))
-    rows = rows.select("n", "activity", "ts", "object_type", F.explode(F.array_distinct("ids")).alias("case_id"))
-    w = Window.partitionBy("n").orderBy("object_type", "case_id")
-    return rows.withColumn("flat_pos", F.row_number().over(w))
+    types = F.sort_array(F.map_keys("omap"))
+    ids = lambda t: F.sort_array(F.array_distinct(F.coalesce(F.element_at("omap", t), F.array().cast("array<string>"))))
+    each = F.transform(types, lambda t: F.transform(ids(t), lambda i: F.struct(t.alias("object_type"), i.alias("case_id"))))
+    rows = df.select("n", "activity", "ts", F.posexplode(F.flatten(each)).alias("flat_pos", "o"))
+    return rows.select("n", "activity", "ts", "o.object_type", "o.case_id", (F.col("flat_pos") + 1).alias("flat_pos"))
 
 
 def oc_dfg(flat: DataFrame) -> DataFrame:
@@ -41,16 +46,61 @@ def oc_dfg(flat: DataFrame) -> DataFrame:
 def per_type_index(flat: DataFrame) -> DataFrame:
     """flat with ``n`` = the event's number within its object type, and ``event_n``, the log's own.
 
-    One distributed numbering by type and order serves all types, less each type's first number; a type
-    that holds most events is spread like any other."""
-    rows = with_index(flat.withColumnRenamed("n", "event_n"), "object_type", "event_n", "flat_pos", name="__i")
-    first = rows.groupBy("object_type").agg(F.min("__i").alias("__first"))
-    return rows.join(first, "object_type").withColumn("n", F.col("__i") - F.col("__first") + 1).drop("__i", "__first")
-
-
-def type_pairs(df: DataFrame, control_flow: list[str] | None = None, spread: bool = True) -> DataFrame:
-    """(n, activity, type_a, type_b, cardinality) of every pair of object types of every event, or, not
-    ``spread``, (n, activity, pairs): a row for each event."""
+    A log read in its order is numbered without a shuffle, see ``numbered_within``; a type that holds most
+    events is spread like any other."""
+    return numbered_within(flat.withColumnRenamed("n", "event_n"), "object_type", "event_n", "flat_pos")
+
+
+def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``flatten``, with ``event_n``, of events (n, activity, omap)."""
+    for batch in batches:
+        n, activity, omap = batch.columns
+        if omap.null_count:
+            batch = batch.filter(omap.is_valid())
+            n, activity, omap = batch.columns
+        entries = np.diff(omap.offsets.to_numpy())
+        first, last = omap.offsets[0].as_py(), omap.offsets[-1].as_py()
+        keys, lists = omap.keys[first:last].dictionary_encode(), omap.items[first:last]
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ids = lists.flatten()
+        if not len(ids):
+            continue
+        names = keys.dictionary.to_pylist()
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        entry = np.repeat(np.arange(len(sizes)), sizes)
+        event = np.repeat(np.arange(len(entries)), entries)[entry]
+        code = keys.indices.to_numpy().astype(np.int64)[entry]
+        joint = event * len(names) + place[code]
+        # Ids usually come sorted and once; where they do not, they are ranked.
+        rising = pc.less(ids[:-1], ids[1:]).fill_null(False).to_numpy(zero_copy_only=False)
+        if not (rising | (np.diff(entry) > 0)).all():
+            told = ids.dictionary_encode()
+            texts = told.dictionary.to_pylist()
+            rank = np.empty(len(texts) + 1, np.int64)
+            rank[sorted(range(len(texts)), key=texts.__getitem__)] = np.arange(len(texts))
+            rank[-1] = -1
+            rank = rank[told.indices.fill_null(len(texts)).to_numpy(zero_copy_only=False)]
+            by = np.lexsort((rank, joint))
+            by = by[(np.diff(joint[by], prepend=-1) > 0) | (np.diff(rank[by], prepend=-2) != 0)]
+        else:
+            by = np.argsort(joint, kind="stable") if (np.diff(joint) < 0).any() else np.arange(len(joint))
+        event = event[by]
+        heads = np.flatnonzero(np.diff(event, prepend=-1))
+        pos = np.arange(1, len(by) + 1) - np.repeat(heads, np.diff(heads, append=len(by)))
+        types = keys.dictionary.take(pa.array(code[by]))
+        columns = [n.take(pa.array(event)), activity.take(pa.array(event)), types, ids.take(pa.array(by)), pa.array(pos.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["event_n", "activity", "object_type", "case_id", "flat_pos"])
+
+
+def flat_index(df: DataFrame) -> DataFrame:
+    """``per_type_index`` of ``flatten`` without ts, in one pass over the events: (event_n, activity, object_type, case_id, flat_pos, n)."""
+    schema = StructType.fromDDL("event_n long, activity string, object_type string, case_id string, flat_pos int")
+    return numbered_within(df.select(F.col("n").cast("long"), "activity", "omap"), "object_type", "event_n", "flat_pos", made=(_flat_batches, schema))
+
+
+def _sizes(control_flow: list[str] | None = None) -> Column:
+    """The types of an event in their order, and how many objects each has."""
     sizes = F.transform(F.map_entries("omap"), lambda e: F.struct(e["key"].alias("t"), F.size(e["value"]).alias("c")))
     if control_flow:
         sizes = F.filter(sizes, lambda e: e["t"].isin(list(control_flow)))
@@ -123,13 +173,15 @@ def mined_types(
     indexed: DataFrame,
     control_flow: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     default_miner: Callable[[DataFrame], DataFrame] | None = None,
+    told_at: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(messages, models) of miners of one's own: each gets the flattened events of its type, numbered
     from 1 in ``n``, and returns models (n, src, dst, freq) by the event they follow.
 
     With ``control_flow`` only the types it names are mined. Without it (or with an empty one) the types are
     those met in the events, and ``default_miner`` mines each; where that is not given either, lossy
-    heuristics with 20 events to a model."""
+    heuristics with 20 events to a model. ``told_at``, a condition on ``n``, says after which events the miners
+    may give models, so that only these are looked up; a model elsewhere is a ValueError."""
     get_mode(control_flow)
     if control_flow:
         miners = dict(control_flow)
@@ -138,17 +190,24 @@ def mined_types(
     else:
         miners = {r[0]: default_miner for r in indexed.select("object_type").distinct().orderBy("object_type").collect()}  # one row a type
     if miners is None:
-        found = heuristics_lossy_ticks(indexed, 20, group=["object_type"])
-    else:
-        none = indexed.where("false").select("object_type", "n", F.lit("").alias("src"), F.lit("").alias("dst"), F.lit(0).cast("long").alias("freq"))
-        parts = [none]
-        for name, miner in miners.items():
-            own = miner(indexed.where(F.col("object_type") == name).drop("object_type"))
-            parts.append(own.select(F.lit(name).alias("object_type"), "n", "src", "dst", "freq"))
-        found = reduce(DataFrame.unionByName, parts)
-    models = written(found, "models")
-    told = models.select("object_type", "n").distinct().join(indexed.select("object_type", "n", "event_n", "flat_pos"), ["object_type", "n"])
-    return with_index(told.select("event_n", "flat_pos", "object_type", F.col("n").alias("type_n")), "event_n", "flat_pos", name="msg"), models
+        miners = {None: lambda events: heuristics_lossy_ticks(events, 20, group=["object_type"])}
+    none = indexed.where("false").select("object_type", "n", F.lit("").alias("src"), F.lit("").alias("dst"), F.lit(0).cast("long").alias("freq"))
+    parts = [none]
+    for name, miner in miners.items():
+        with Passing() as stage:
+            if name is None:
+                own = miner(indexed)
+            else:
+                own = miner(indexed.where(F.col("object_type") == name).drop("object_type")).withColumn("object_type", F.lit(name))
+            parts.append(stage.keep(own.select("object_type", "n", "src", "dst", "freq"), "models"))
+    models = reduce(DataFrame.unionByName, parts)
+    heard = indexed.select("object_type", "n", "event_n", "flat_pos")
+    if told_at is not None:
+        if not models.where(~told_at).isEmpty():
+            raise ValueError("a miner gave models after other events than told_at says")
+        heard = heard.where(told_at)
+    told = written(models.select("object_type", "n").distinct().join(heard, ["object_type", "n"]), "told", lean=True)
+    return with_index(told.select("event_n", "flat_pos", "object_type", F.col("n").alias("type_n")), "event_n", "flat_pos", name="msg", lean=True), models
 
 
 def dfg_messages(indexed: DataFrame, model_update_frequency: int = 20, control_flow: list[str] | None = None) -> DataFrame:
@@ -228,7 +287,7 @@ def merged_ocdfg(messages: DataFrame, models: DataFrame, commands: DataFrame) ->
     gives a row for each message."""
     last = last_index(messages, "msg")
     off = F.max(F.when(F.col("command") == INACTIVE, 1).otherwise(0))
-    messages = written(messages.select("msg", "object_type", "type_n"), "messages")
+    messages = written(messages.select("msg", "object_type", "type_n"), "messages", lean=True)
     switched = commands.groupBy("object_type", "msg").agg((off == 0).alias("on"))
     told = messages.select("object_type", "msg", "type_n")
     rows = running(told.join(switched, ["object_type", "msg"], "full"), ["object_type"], "msg", type_n=("last", "type_n"), on=("last", "on"))

@@ -12,6 +12,7 @@ from ..functions.running import running
 from ..operators import conformance, discovery, filters, objects, windows
 from ..order import with_index
 from ..sources import dict_ocel_log, string_log
+from ..workspace import Passing
 from .log import EventLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,19 +433,19 @@ def temporal_conformance(spark, sf_dir):
 
 def oc_log(spark, sf_dir):
     """``place_order`` for each order and ``ship`` for each order and shipping date."""
-    o = table(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").alias("ts"), F.lit(0).alias("kind"), F.col("o_orderkey").alias("key"), F.lit("place_order").alias("activity"),
-        F.create_map(
-            F.lit("Customer"), F.array(F.col("o_custkey").cast("string")), F.lit("Order"), F.array(F.col("o_orderkey").cast("string"))
-        ).alias("omap"),
-    )
-    ids = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))
-    s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipdate").agg(ids("l_partkey").alias("p"), ids("l_suppkey").alias("s"))
-    s = s.select(
-        F.col("l_shipdate").alias("ts"), F.lit(1).alias("kind"), F.col("l_orderkey").alias("key"), F.lit("ship").alias("activity"),
-        F.create_map(F.lit("Order"), F.array(F.col("l_orderkey").cast("string")), F.lit("Part"), F.col("p"), F.lit("Supplier"), F.col("s")).alias("omap"),
-    )
-    return with_index(o.unionByName(s), "ts", "kind", "key")
+    line = lambda ts, kind, key, row, a, b: [F.col(ts).alias("ts"), F.lit(kind).alias("kind"), F.col(key).alias("key"), row.alias("row"), F.col(a).alias("a"), b.alias("b")]
+    o = table(spark, sf_dir, "orders").select(*line("o_orderdate", 0, "o_orderkey", F.monotonically_increasing_id(), "o_custkey", F.lit(None).cast("long")))
+    s = table(spark, sf_dir, "lineitem").select(*line("l_shipdate", 1, "l_orderkey", F.lit(-1).cast("long"), "l_partkey", F.col("l_suppkey")))
+    # Lines go straight to the ranges of the log's order, where those of one event meet; objects are named after that.
+    rows = o.unionByName(s).repartitionByRange("ts", "kind", "key").groupBy("ts", "kind", "key", "row")
+    rows = rows.agg(F.min("a").alias("c"), F.collect_set("a").alias("a"), F.collect_set("b").alias("b")).drop("row")
+    ids = lambda c: F.sort_array(F.col(c).cast("array<string>"))
+    order = F.array(F.col("key").cast("string"))
+    placed = F.create_map(F.lit("Customer"), F.array(F.col("c").cast("string")), F.lit("Order"), order)
+    shipped = F.create_map(F.lit("Order"), order, F.lit("Part"), ids("a"), F.lit("Supplier"), ids("b"))
+    activity = F.when(F.col("kind") == 0, "place_order").otherwise("ship")
+    own = with_index(rows, "ts", "kind", "key", ranged=True, lean=True)
+    return own.select("ts", "kind", "key", activity.alias("activity"), F.when(F.col("kind") == 0, placed).otherwise(shipped).alias("omap"), "n")
 
 
 OC = (
@@ -565,10 +566,20 @@ def _counting_miner(events: DataFrame) -> DataFrame:
     return discovery.simple_dfg_ticks(events, 200, 0.0)
 
 
+#: The events after which the counting miner gives a model.
+COUNTED_AT = "n % 200 = 0"
+
+
+def _mined(own: DataFrame, **miners) -> tuple[DataFrame, DataFrame]:
+    with Passing() as stage:
+        messages, models = objects.mined_types(objects.flat_index(own), told_at=F.expr(COUNTED_AT), **miners)
+        return stage.keep(messages, "messages"), stage.keep(models, "models")
+
+
 def _merged(spark, sf_dir):
     own = oc_log(spark, sf_dir)
     types = ["Customer", "Order", "Part", "Supplier"]
-    messages, models = objects.mined_types(objects.per_type_index(objects.flatten(own)), dict.fromkeys(types, _counting_miner))
+    messages, models = _mined(own, control_flow=dict.fromkeys(types, _counting_miner))
     commands = objects.relative_frequency(messages, 0.15)
     return own, messages, commands, objects.merged_ocdfg(messages, models, commands)
 

@@ -94,3 +94,13 @@ def test_merged_models_leave_no_large_table(spark):
     _, messages, _, _ = queries._merged(spark, "/root/testdata/sf0.001")
     left = {t.rsplit("-", 1)[0] for t in tables(spark) - before}
     assert messages.count() > 0 and "runs" not in left and "models" in left
+
+
+def test_models_come_where_the_miner_says(spark):
+    df, _ = odd_log(spark)
+    indexed = objects.flat_index(df.na.fill("?"))
+    miner = lambda events: events.where("n % 4 = 0").select("n", F.lit("a").alias("src"), F.lit("b").alias("dst"), F.lit(1).cast("long").alias("freq"))
+    rows = lambda at: sorted(map(tuple, objects.mined_types(indexed, {"Part": miner, "Cust": miner}, told_at=at)[0].collect()))
+    assert rows(F.expr("n % 4 = 0")) == rows(None) != []
+    with pytest.raises(ValueError):
+        objects.mined_types(indexed, {"Part": miner}, told_at=F.expr("n % 8 = 0"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright import order
-from tracewright.operators import objects
+from tracewright.operators import discovery, objects
 from tracewright.order import with_index
 from tracewright.plans import queries
 from tracewright.workspace import Passing, shared_dir, written
@@ -104,3 +104,11 @@ def test_models_come_where_the_miner_says(spark):
     assert rows(F.expr("n % 4 = 0")) == rows(None) != []
     with pytest.raises(ValueError):
         objects.mined_types(indexed, {"Part": miner}, told_at=F.expr("n % 8 = 0"))
+
+
+def test_ends_read_the_edges_once(spark, tmp_path):
+    rows = [("x", "a", "b"), ("x", "b", "b"), ("x", "b", "c"), ("y", "d", "d"), ("y", None, "e")]
+    spark.createDataFrame(rows, "g string, src string, dst string").write.parquet(str(tmp_path / "edges"))
+    ends = discovery.start_end_activities(spark.read.parquet(str(tmp_path / "edges")), by=("g",))
+    assert sorted(map(tuple, ends.collect())) == [("x", "a", True, False), ("x", "c", False, True)]
+    assert ends._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1

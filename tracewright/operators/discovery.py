@@ -37,14 +37,11 @@ def start_end_activities(edges: DataFrame, loops_count: bool = False, by: tuple[
     """(by, activity, is_start, is_end), for each graph that ``by`` names: starts are sources that are no
     targets of other activities, ends the reverse. A node with a self-loop only is neither, or both
     with ``loops_count``."""
-    other = edges.where("src <> dst")
-    pool = edges if loops_count else other
-    marks = (
-        pool.select(*by, F.col("src").alias("activity"), F.lit("s").alias("side"))
-        .union(pool.select(*by, "dst", F.lit("t")))
-        .union(other.select(*by, "src", F.lit("S")))
-        .union(other.select(*by, "dst", F.lit("T")))
-    )
+    other = F.col("src") != F.col("dst")
+    pool = F.lit(True) if loops_count else other
+    mark = lambda when, c, side: F.when(when, F.struct(F.col(c).alias("activity"), F.lit(side).alias("side")))
+    each = F.array(mark(pool, "src", "s"), mark(pool, "dst", "t"), mark(other, "src", "S"), mark(other, "dst", "T"))
+    marks = edges.select(*by, F.explode(each).alias("m")).where("m IS NOT NULL").select(*by, "m.activity", "m.side")
     has = lambda side: F.max(F.when(F.col("side") == side, 1).otherwise(0)) == 1
     rows = marks.groupBy(*by, "activity").agg((has("s") & ~has("T")).alias("is_start"), (has("t") & ~has("S")).alias("is_end"))
     return rows.where("is_start OR is_end")

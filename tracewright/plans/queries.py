@@ -632,8 +632,7 @@ def aer_pruned(spark, sf_dir):
 
 @query(OC_MERGED + "SELECT msg, event_n, object_type, type_n FROM cm")
 def oc_dynamic_miner(spark, sf_dir):
-    own = objects.per_type_index(objects.flatten(oc_log(spark, sf_dir)))
-    messages, _ = objects.mined_types(own, default_miner=_counting_miner)
+    messages, _ = _mined(oc_log(spark, sf_dir), default_miner=_counting_miner)
     return messages.select("msg", "event_n", "object_type", "type_n")
 
 

@@ -112,3 +112,25 @@ def test_ends_read_the_edges_once(spark, tmp_path):
     ends = discovery.start_end_activities(spark.read.parquet(str(tmp_path / "edges")), by=("g",))
     assert sorted(map(tuple, ends.collect())) == [("x", "a", True, False), ("x", "c", False, True)]
     assert ends._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_models_of_types_move_no_event(spark, monkeypatch):
+    """Events are numbered within their activity where they are, and met by their shapes; types may come in any order."""
+    rows = [(n, "AB"[n % 2], {t: ["x"] * (1 + n % 3 // 2) for t in (["P", "Q"] if n % 5 else ["Q", "P"])}) for n in range(1, 60)]
+    df = spark.createDataFrame(rows, "n long, activity string, omap map<string,array<string>>").repartitionByRange(3, "n").sortWithinPartitions("n")
+    for module in (order, objects):
+        monkeypatch.setattr(module, "with_index", refuse)
+    found = objects.aer_lossy_ticks(df, 20, 0.25).collect()
+    assert {(r.n, r.activity, r.type_a, r.type_b) for r in found} == {(n, a, "P", "Q") for n in (19, 39, 59) for a in "AB"}
+    kinds = {tuple(r)[1:] for r in objects.shape_pairs(objects.shapes(df)).collect()}
+    assert kinds == {tuple(r)[1:] for r in objects.type_pairs(df).collect()}
+
+
+def test_spans_are_entered_for_widths_there_are(spark):
+    from tracewright.functions.spans import overlaps
+
+    short = spark.range(0, 64).select(F.lit("k").alias("k"), F.col("id").alias("from"), F.col("id").alias("to"), F.col("id").alias("i"))
+    long = spark.createDataFrame([("k", 0, 1 << 40, 1)], "k string, from long, to long, j long")
+    pairs = overlaps(short, long, ["k"], 1 << 40)
+    assert pairs.count() == 64
+    assert "lambdafunction" in pairs._jdf.queryExecution().optimizedPlan().toString()  # widths are taken from a list, not from 0 to 40

@@ -20,10 +20,10 @@ def lossy_states(occurrences: DataFrame, keys: list[str], strict: bool = False)
     occurrences.
 
     ``occurrences`` has the keys, n, b (bucket) and slot (any non-decreasing function of n whose last
-    occurrence is wanted, such as the next tick). The entry is there until event
+    occurrence is wanted, such as the next tick), and, where it is counted by these already, cnt. The entry is there until event
     width * greatest(b, reach) of the counted sequence; ``born`` is the n that began its life. Counts are
     combined by key, bucket and slot, and run over ranges of n, so that a key of any share is split."""
-    rows = occurrences.groupBy(*keys, "b", "slot").agg(F.count("*").alias("cnt"), F.min("n").alias("first_n"))
+    rows = occurrences.groupBy(*keys, "b", "slot").agg((F.sum("cnt") if "cnt" in occurrences.columns else F.count("*")).alias("cnt"), F.min("n").alias("first_n"))
     rows = running(rows, keys, "first_n", before=("before", "cnt"), previous=("lag", "b"), next_slot=("lead", "slot"))
     first = F.col("previous").isNull() | (F.col("previous") != F.col("b"))
     # A life begins where g is as low as never before (strictly lower, if strict): its row has the least (g, place).

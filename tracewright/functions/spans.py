@@ -14,18 +14,19 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], last: int) -> D
 
     A span of up to 2**k numbers touches at most two bins of that width. The longer span of a pair is
     met in the bins of its own width, in which the shorter one is entered too: so each span is
-    entered twice for each width, 2 * log2(last) rows at most, whatever its length. Both sides are read
-    twice; written tables serve best."""
-    top = max(int(last), 1).bit_length()
+    entered twice for each width the other side has, 2 * log2(last) rows at most, whatever its length. Both sides are
+    read three times; written tables serve best."""
     width = lambda df: df.withColumn("__k", F.ceil(F.log2(F.col("to") - F.col("from") + 1)).cast("int"))
+    # One number for each width, 64 at most.
+    widths = {id(df): sorted(r[0] for r in width(df).select("__k").distinct().collect()) for df in (left, right)}
 
     def entered(df: DataFrame, own: bool, side: str, strict: bool = False) -> DataFrame:
         rows = width(df)
         if own:
             rows = rows.withColumn("__w", F.col("__k"))
         else:
-            first = F.col("__k") + (1 if strict else 0)
-            rows = rows.where(first <= top).withColumn("__w", F.explode(F.sequence(first, F.lit(top))))
+            theirs = F.array(*map(F.lit, widths[id(right if df is left else left)])).cast("array<int>")
+            rows = rows.withColumn("__w", F.explode(F.filter(theirs, lambda w: w > F.col("__k") if strict else w >= F.col("__k"))))
         rows = rows.withColumn("__bin", F.explode(F.expr("sequence(shiftright(`from`, __w), shiftright(`to`, __w))")))
         return rows.drop("__k").withColumnRenamed("from", f"__from_{side}").withColumnRenamed("to", f"__to_{side}")
 

@@ -104,21 +104,47 @@ def _sizes(control_flow: list[str] | None = None) -> Column:
     sizes = F.transform(F.map_entries("omap"), lambda e: F.struct(e["key"].alias("t"), F.size(e["value"]).alias("c")))
     if control_flow:
         sizes = F.filter(sizes, lambda e: e["t"].isin(list(control_flow)))
-    sizes = F.array_sort(sizes)
+    return F.sort_array(sizes)
+
+
+def _told(sizes: Column) -> Column:
+    """(type_a, type_b, cardinality) of every pair of types."""
     pairs = F.flatten(
         F.transform(
             sizes, lambda x, i: F.transform(F.slice(sizes, i + 2, F.greatest(F.size(sizes) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))
         )
     )
-    told = F.transform(
+    return F.transform(
         pairs,
         lambda p: F.struct(p["x"]["t"].alias("type_a"), p["y"]["t"].alias("type_b"), infer_cardinality(p["x"]["c"], p["y"]["c"]).alias("cardinality")),
     )
+
+
+def type_pairs(df: DataFrame, control_flow: list[str] | None = None, spread: bool = True) -> DataFrame:
+    """(n, activity, type_a, type_b, cardinality) of every pair of object types of every event, or, not
+    ``spread``, (n, activity, pairs): a row for each event."""
+    told = _told(_sizes(control_flow))
     if not spread:
         return df.select("n", "activity", told.alias("pairs"))
     return df.select("n", "activity", F.inline(told))
 
 
+def shapes(df: DataFrame, *keep: str) -> DataFrame:
+    """(n, activity, shape, keep): an event's types as they come, each with 1 or 2 for one or many objects. Logs have
+    few shapes, so events are counted by them; ``shape_pairs`` gives the pairs of what is counted."""
+    many = F.transform(F.map_values("omap"), lambda ids: F.least(F.size(ids), F.lit(2)))
+    return df.select("n", "activity", F.struct(F.map_keys("omap").alias("t"), many.alias("c")).alias("shape"), *keep)
+
+
+def shape_pairs(rows: DataFrame, control_flow: list[str] | None = None) -> DataFrame:
+    """rows with type_a, type_b and cardinality in place of ``shape``: a row for every pair of types. Events that
+    list their types in another order are rows of their own."""
+    sizes = F.arrays_zip(F.col("shape.t").alias("t"), F.col("shape.c").alias("c"))
+    if control_flow:
+        sizes = F.filter(sizes, lambda e: e["t"].isin(list(control_flow)))
+    return rows.select(*(c for c in rows.columns if c != "shape"), F.inline(_told(F.sort_array(sizes))))
+
+
 def cardinalities(pairs: DataFrame) -> DataFrame:
     """(activity, type_a, type_b, cardinality, freq): the most frequent cardinality of every pair; of
     equally frequent ones the one seen first."""
@@ -138,13 +164,11 @@ def aer_lossy_ticks(
         raise ValueError("max_approx_error must lie in (0, 1]")
     width, f = int(1 / max_approx_error), model_update_frequency
     last = (last_index(df) + 1) // f
-    own = with_index(df.select("n", "activity"), "activity", "n", name="__i")
-    first = own.groupBy("activity").agg(F.min("__i").alias("__first"))
-    own = own.join(first, "activity").select("n", "activity", (F.col("__i") - F.col("__first") + 1).alias("d"))
-    rows = type_pairs(df, control_flow).join(own, ["n", "activity"])
-    rows = rows.withColumn("b", F.ceil(F.col("d") / width)).withColumn("slot", F.ceil((F.col("n") + 1) / f))
-    states = at_ticks(lossy_states(rows, ["activity", "type_a", "type_b", "cardinality"], strict=True), last)
-    seen = own.groupBy("activity", F.ceil((F.col("n") + 1) / f).alias("slot")).agg(F.max("d").alias("d"))
+    own = numbered_within(shapes(df), "activity", "n", name="d")
+    rows = own.groupBy("activity", "shape", F.ceil(F.col("d") / width).alias("b"), F.ceil((F.col("n") + 1) / f).alias("slot"))
+    rows = written(rows.agg(F.count("*").alias("cnt"), F.min("n").alias("n"), F.max("d").alias("d")), "shapes", lean=True)
+    states = at_ticks(lossy_states(shape_pairs(rows.drop("d"), control_flow), ["activity", "type_a", "type_b", "cardinality"], strict=True), last)
+    seen = rows.groupBy("activity", "slot").agg(F.max("d").alias("d"))
     seen = at_ticks(running(seen, ["activity"], "slot", next_slot=("lead", "slot")), last).select("activity", "tick", "d")
     alive = states.join(seen, ["activity", "tick"]).where(F.col("d") < F.lit(width) * F.greatest("b", "reach"))
     best = F.max(F.struct("freq", (-F.col("born")).alias("n"), "cardinality"))
@@ -338,16 +362,16 @@ def merged_aer(messages: DataFrame, edges: DataFrame, aer: DataFrame, commands:
     too (without it, those with rows). Each message takes the newest tick before it as-of, the runs of
     messages with one tick are spans, and spans are joined where they overlap."""
     last = last_index(messages, "msg")
-    aer, edges = written(aer, "aer"), written(edges.select("from", "to", F.array("src", "dst").alias("ends")).distinct(), "edges")
+    aer, edges = written(aer, "aer", lean=True), written(edges.select("from", "to", F.array("src", "dst").alias("ends")).distinct(), "edges", lean=True)
     ticks = (aer if ticks is None else ticks).select(F.col("n").alias("event_n"), F.col("n")).distinct()
     newest = as_of(messages.select("msg", "event_n"), ticks, "event_n", tick="n").where("tick IS NOT NULL")
     told = newest.groupBy("tick").agg(F.min("msg").alias("from"), F.max("msg").alias("to"))
     rows = told.join(aer, F.col("tick") == F.col("n")).drop("tick", "n")
     on = written(active_spans(commands, last), "active")
     for side in ("type_a", "type_b"):
-        rows = overlaps(written(rows, "spans"), on.withColumnRenamed("object_type", side), [side], last)
+        rows = overlaps(written(rows, "spans", lean=True), on.withColumnRenamed("object_type", side), [side], last)
     nodes = edges.select("from", "to", F.explode("ends").alias("activity")).distinct()
-    rows = overlaps(written(rows, "spans"), written(merged_spans(nodes, ["activity"]), "nodes"), ["activity"], last)
+    rows = overlaps(written(rows, "spans", lean=True), written(merged_spans(nodes, ["activity"]), "nodes", lean=True), ["activity"], last)
     return rows.select("from", "to", "activity", "type_a", "type_b", "cardinality")
 
 

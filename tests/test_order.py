@@ -134,3 +134,11 @@ def test_spans_are_entered_for_widths_there_are(spark):
     pairs = overlaps(short, long, ["k"], 1 << 40)
     assert pairs.count() == 64
     assert "lambdafunction" in pairs._jdf.queryExecution().optimizedPlan().toString()  # widths are taken from a list, not from 0 to 40
+
+
+def test_irregular_models_pair_no_event(spark, monkeypatch):
+    """The pairs of types are those of counted shapes: events are not joined with themselves."""
+    own = queries.oc_log(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(objects, "type_pairs", refuse)
+    aer, ticks = queries._irregular_aer(own)
+    assert 0 < aer.select("n").distinct().count() <= ticks.count()

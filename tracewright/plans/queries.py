@@ -639,10 +639,10 @@ def oc_dynamic_miner(spark, sf_dir):
 def _irregular_aer(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """AER models of the events since the last tick, told at irregular ticks: orders of some keys."""
     tick = (F.col("kind") == 0) & (F.col("key") % 97 == 0)
-    events = running(own.select("n", "activity", "omap", tick.cast("int").alias("tick")), [], "n", slot=("before", "tick"))
+    events = running(objects.shapes(own.withColumn("tick", tick.cast("int")), "tick"), [], "n", slot=("before", "tick"))
     ticks = events.where("tick = 1").select("slot", F.col("n").alias("at"))
-    pairs = objects.type_pairs(events).join(events.select("n", "slot"), "n").join(ticks, "slot")
-    counts = pairs.groupBy("at", "activity", "type_a", "type_b", "cardinality").agg(F.count("*").alias("freq"), F.min("n").alias("n"))
+    met = events.groupBy("slot", "activity", "shape").agg(F.count("*").alias("cnt"), F.min("n").alias("n")).join(ticks, "slot")
+    counts = objects.shape_pairs(met).groupBy("at", "activity", "type_a", "type_b", "cardinality").agg(F.sum("cnt").alias("freq"), F.min("n").alias("n"))
     best = F.max(F.struct("freq", (-F.col("n")).alias("n"), "cardinality")).alias("m")
     aer = counts.groupBy("at", "activity", "type_a", "type_b").agg(best)
     return aer.select(F.col("at").alias("n"), "activity", "type_a", "type_b", "m.cardinality"), ticks.select(F.col("at").alias("n"))
